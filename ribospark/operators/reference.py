@@ -140,7 +140,7 @@ def transcripts_of(rows: DataFrame, biotypes: list[str] | None = None) -> DataFr
         _intervals(f == "UTR").alias("utr"),
         _intervals(f.isin("five_prime_UTR", "five_prime_utr")).alias("utr5"),
         _intervals(f.isin("three_prime_UTR", "three_prime_utr")).alias("utr3"),
-        _intervals(f == "Selenocysteine").alias("sec"),
+        _intervals(F.lower(f) == "selenocysteine").alias("sec"),
         F.flatten(F.collect_list(F.when(is_tx, F.col("tags")))).alias("tags"),
         flag.alias("flag"),
         F.min("pos").alias("pos"),

@@ -80,12 +80,12 @@ def locate(variants: DataFrame, transcripts: DataFrame, genes: DataFrame) -> Dat
     before = genomic(F.col("start") - 1)
     exonic = ref.genomic_to_transcript(before, F.col("exons"), F.col("t_strand")).isNotNull()
     snapped = gene(ref.upstream_exon_end(before, F.col("exons"), F.col("t_strand"))) + 1
-    moved = joined.withColumns(
-        {
-            "left_insert": F.when(fusion & ~exonic, F.struct(snapped.alias("start"), F.col("start").alias("end"))),
-            "start": F.when(fusion & ~exonic, snapped).otherwise(F.col("start")),
-            "end": F.when(fusion & ~exonic, snapped + 1).otherwise(F.col("end")),
-        }
+    kept = [c for c in joined.columns if c not in ("start", "end")]
+    moved = joined.withColumn("at", F.when(fusion & ~exonic, snapped)).select(
+        *kept,
+        F.when(F.col("at").isNotNull(), F.struct(F.col("at").alias("start"), F.col("start").alias("end"))).alias("left_insert"),
+        F.coalesce("at", "start").alias("start"),
+        F.coalesce(F.col("at") + 1, F.col("end")).alias("end"),
     )
     a = on_transcript(F.col("start") - F.when(fusion, 1).otherwise(0))
     b = on_transcript(F.col("end") - 1)
