@@ -55,14 +55,14 @@ def w2f_variants(seq: Column) -> Column:
     letters = F.split(seq, "")
     sites = F.filter(F.transform(letters, lambda c, i: F.when(c == "W", i)), lambda i: i.isNotNull())
     n = F.size(sites)
-    masks = F.when(n > 0, F.sequence(F.lit(1), F.shiftleft(F.lit(1), n) - 1)).otherwise(F.array().cast("array<int>"))
+    masks = F.when(n > 0, F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), n) - 1)).otherwise(F.array().cast("array<int>"))
 
     def apply(mask):
         return F.array_join(
             F.transform(
                 letters,
                 lambda c, i: F.when(
-                    (c == "W") & (F.getbit(mask, F.greatest(F.array_position(sites, i).cast("int") - 1, F.lit(0))) == 1), "F"
+                    (c == "W") & (F.call_function("getbit", mask, F.greatest(F.array_position(sites, i).cast("int") - 1, F.lit(0))) == 1), "F"
                 ).otherwise(c),
             ),
             "",
