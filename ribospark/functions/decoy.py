@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ribospark.functions import let
 from ribospark.functions.digest import Cleavage, cleavage_sites
 
 
@@ -28,11 +29,19 @@ def fixed_positions(seq: Column, cleavage: Cleavage | None = None, residues: str
 
 def _rearranged(seq: Column, fixed: Column, order) -> Column:
     """``seq`` with its free residues put in another order; the n-th free place takes the n-th of the ordered ones."""
-    letters = F.split(seq, "")
-    free = F.filter(F.sequence(F.lit(0), F.length(seq) - 1), lambda i: ~F.array_contains(fixed, i))
-    moved = order(F.transform(free, lambda i: F.struct(i.alias("i"), F.get(letters, i).alias("c"))))
-    place = F.transform(letters, lambda c, i: F.coalesce(F.get(moved, F.array_position(free, i).cast("int") - 1)["c"], c))
-    return F.when(F.length(seq) > 0, F.array_join(place, "")).otherwise(seq)
+
+    def placed(letters: Column, at: Column, moved: Column) -> Column:
+        def rank(i: Column) -> Column:
+            return i - F.size(F.filter(at, lambda f: f < i))
+
+        return F.array_join(F.transform(letters, lambda c, i: F.when(F.array_contains(at, i), c).otherwise(F.get(moved, rank(i)))), "")
+
+    def rebuilt(letters: Column, at: Column) -> Column:
+        free = F.filter(letters, lambda c, i: ~F.array_contains(at, i))
+        return let(order(free), lambda moved: placed(letters, at, moved))
+
+    made = let(F.split(seq, ""), lambda letters: let(fixed, lambda at: rebuilt(letters, at)))
+    return F.when(F.length(seq) > 0, made).otherwise(seq)
 
 
 def reverse(seq: Column, fixed: Column) -> Column:
@@ -40,20 +49,23 @@ def reverse(seq: Column, fixed: Column) -> Column:
 
 
 def shuffle(seq: Column, fixed: Column, seed: Column | int, attempt: Column | int = 0) -> Column:
-    """Free residues ordered by a hash of (sequence, seed, attempt, position): the same on every run and cluster."""
+    """Free residues ordered by a hash of (sequence, seed, attempt, place): the same on every run and cluster."""
     seed, attempt = (x if isinstance(x, Column) else F.lit(x) for x in (seed, attempt))
 
     def order(free: Column) -> Column:
-        ranked = F.transform(free, lambda s: F.struct(F.xxhash64(seq, seed, attempt, s["i"]).alias("h"), s["i"].alias("i"), s["c"].alias("c")))
-        return F.transform(F.array_sort(ranked), lambda s: F.struct(s["i"].alias("i"), s["c"].alias("c")))
+        ranked = F.transform(free, lambda c, i: F.struct(F.xxhash64(seq, seed, attempt, i).alias("h"), i.alias("i"), c.alias("c")))
+        return F.transform(F.array_sort(ranked), lambda s: s["c"])
 
     return _rearranged(seq, fixed, order)
 
 
 def w2f_variants(seq: Column) -> Column:
     """All sequences with a non-empty set of W read as F; the mask over the W's counts up."""
-    letters = F.split(seq, "")
-    sites = F.filter(F.transform(letters, lambda c, i: F.when(c == "W", i)), lambda i: i.isNotNull())
+    sites = F.filter(F.transform(F.split(seq, ""), lambda c, i: F.when(c == "W", i)), lambda i: i.isNotNull())
+    return let(F.split(seq, ""), lambda letters: let(sites, lambda s: _w2f(letters, s)))
+
+
+def _w2f(letters: Column, sites: Column) -> Column:
     n = F.size(sites)
     masks = F.when(n > 0, F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), n) - 1)).otherwise(F.array().cast("array<int>"))
 

@@ -13,7 +13,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ribospark.functions import fixed
+from ribospark.functions import fixed, let
 
 _MARK = "|"
 
@@ -47,8 +47,7 @@ def fragments(protein: Column, cleavage: Cleavage = Cleavage()) -> Column:
 
 def cleavage_sites(protein: Column, cleavage: Cleavage = Cleavage()) -> Column:
     """Positions of the cleavage sites: the ends of all fragments but the last."""
-    parts = fragments(protein, cleavage)
-    sizes = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), F.length)
+    sizes = let(fragments(protein, cleavage), lambda parts: F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), F.length))
     return F.aggregate(
         sizes,
         F.array().cast("array<int>"),
@@ -96,21 +95,32 @@ def is_sized(peptide: Column, cleavage: Cleavage) -> Column:
     return F.length(peptide).between(cleavage.min_length, cleavage.max_length)
 
 
+#: Mass of the lightest residue: a peptide of n residues has at least n times this, and water.
+_LIGHTEST = min(fixed.MASSES.values()) - fixed.WATER
+
+
+def _heavy(peptide: Column, least: float, inclusive: bool) -> Column:
+    """Whether a peptide reaches the least mass and all its letters have one. Most are long enough to need no sum."""
+    known = ~peptide.rlike(f"[^{''.join(fixed.MASSES)}]")
+    m = mass(peptide)
+    return known & ((F.length(peptide) * _LIGHTEST + fixed.WATER > least + 0.01) | ((m >= least) if inclusive else (m > least)))
+
+
 def is_valid_digest(peptide: Column, cleavage: Cleavage = Cleavage()) -> Column:
     """Digestion keeps what has the size, no X, and more than the least mass."""
-    return is_sized(peptide, cleavage) & ~peptide.contains("X") & (mass(peptide) > cleavage.min_mw)
+    return is_sized(peptide, cleavage) & _heavy(peptide, cleavage.min_mw, False)
 
 
 def is_valid_variant(peptide: Column, cleavage: Cleavage = Cleavage()) -> Column:
     """Callers keep what has the size, no X, and at least the least mass."""
-    return is_sized(peptide, cleavage) & ~peptide.contains("X") & (mass(peptide) >= cleavage.min_mw)
+    return is_sized(peptide, cleavage) & _heavy(peptide, cleavage.min_mw, True)
 
 
 def digest(protein: Column, cleavage: Cleavage = Cleavage(), cds_start_nf: Column | bool = False) -> Column:
     """Array of the valid peptides of a protein, repeats kept; its size is tested before its mass is summed."""
     nf = cds_start_nf if isinstance(cds_start_nf, Column) else F.lit(cds_start_nf)
-    sized = F.filter(_windows(fragments(protein, cleavage), cleavage.miscleavage, ~nf), lambda p: is_sized(p, cleavage))
-    return F.filter(sized, lambda p: ~p.contains("X") & (mass(p) > cleavage.min_mw))
+    windows = let(fragments(protein, cleavage), lambda parts: _windows(parts, cleavage.miscleavage, ~nf))
+    return F.filter(windows, lambda p: is_valid_digest(p, cleavage))
 
 
 def miscleavages(peptide: Column, cleavage: Cleavage = Cleavage()) -> Column:

@@ -318,10 +318,11 @@ def _reference(spark: SparkSession, d: str) -> reference.Reference:
 
 
 def call_variant(spark: SparkSession, d: str) -> DataFrame:
-    """Variant peptides: an event is a substitution at the floor of its value on its user's transcript."""
+    """Variant peptides: an event is a substitution at the floor of its value on one of its user's ten transcripts."""
     ref = _reference(spark, d)
     seqs = ref.genome.select(F.substring("seqname", 2, 100).alias("t"), "seq")
-    v = variant_events(spark, d).select(F.concat(F.lit("T"), F.col("tx_id").cast("string")).alias("tx_id"), "pos").distinct()
+    own = F.col("tx_id") * 10 + F.col("event_id") % 10
+    v = variant_events(spark, d).select(F.concat(F.lit("T"), own.cast("string")).alias("tx_id"), "pos").distinct()
     placed = v.join(seqs, F.col("tx_id") == F.col("t")).where((F.col("pos") >= 3) & (F.col("pos") < F.length("seq") - 3))
     base = F.substring("seq", F.col("pos") + 1, F.lit(1))
     alt = F.translate(base, "ACGT", "GTAC")
@@ -476,7 +477,7 @@ SQL = {
         ), nw AS (SELECT seq, count(*) AS m FROM kw GROUP BY seq
         ), mk AS (SELECT seq, unnest(range(1, CAST(2 ** m AS BIGINT))) AS mask FROM nw
         ), ch AS (SELECT mk.seq, mask, i, CASE WHEN (mask >> CAST(j - 1 AS BIGINT)) & 1 = 1 THEN 'F' ELSE substr(mk.seq, i, 1) END AS c
-          FROM mk, LATERAL (SELECT unnest(range(1, length(mk.seq) + 1)) AS i) LEFT JOIN kw USING (seq, i))
+          FROM (SELECT seq, mask, unnest(range(1, length(seq) + 1)) AS i FROM mk) mk LEFT JOIN kw USING (seq, i))
         SELECT seq, string_agg(c, '' ORDER BY i) AS variant FROM ch GROUP BY seq, mask""",
     "exon_cumulative": f"WITH {_E} SELECT tx_id, CAST(n5 AS INT) AS n5, s AS start, t AS \"end\", c0 AS cum_start, c1 AS cum_end FROM e",
     "transcript_length": f"WITH {_E} SELECT tx_id, CAST(sum(size) AS INT) AS size FROM x GROUP BY tx_id",
