@@ -58,11 +58,11 @@ def orphan_references(
         if semantics == "simple":
             refs = refs.where(F.col("__mask") == full)
     keys = broadcast_if_small(keys)
-    on = F.col("__mask") == F.col("__tmask")
+    on = refs["__mask"] == keys["__tmask"]
     for i, c in enumerate(key):
         on = on & refs[c].eqNullSafe(keys[f"__t{i}"])
     if span:
-        on = on & (F.col("__added") <= refs[at]) & (F.col("__retired").isNull() | (refs[at] < F.col("__retired")))
+        on = on & (keys["__added"] <= refs[at]) & (keys["__retired"].isNull() | (refs[at] < keys["__retired"]))
     return refs.join(keys, on, "left_anti").drop("__mask")
 
 
