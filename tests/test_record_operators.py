@@ -87,7 +87,7 @@ def test_unified_table(spark):
     df = lines(spark, ("#a\tb", "1\tx", "2\tNA"), ("#a\tb2\td", "1.5\ty\t\r"), ("#b2\td\tfile_id", "z\t5\tq"))
     rows = {(r.file_id, r.line_no): r for r in drift.unified_table(df).collect()}
     assert (rows["f0", 2].a, rows["f0", 2].b, rows["f0", 3].b) == (1.0, "x", None)
-    assert (rows["f1", 2].a, rows["f1", 2].b, rows["f2", 2].b, rows["f2", 2].file_id_) == (1.5, "y", "z", "q")
+    assert (rows["f1", 2].a, rows["f1", 2].b2, rows["f2", 2].b2, rows["f2", 2].file_id_) == (1.5, "y", "z", "q")
     assert drift.schema_changes(df.limit(0)).count() == 0
 
 
