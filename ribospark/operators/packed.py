@@ -18,6 +18,10 @@ from ribospark.session import broadcast_if_small, checkpointed
 
 _ORD = r"""[^,;|"'\[\]\s]"""
 _WORD = rf"(?:{_ORD}++(?:\[[^\[\]]*+\])?+)++"
+# A whole value in quotes is one token, so that what it holds makes no skeletons of its own.
+_QUOTED = "|".join(
+    rf"(?<=\A\s{{0,9}}|[,;|\[]\s{{0,9}}){q}(?!\s*+\[)[^{q}]++{q}(?=\s*+(?:[,;|\]]|\z))" for q in ('"', "'")
+)
 
 
 @dataclass(frozen=True)
@@ -30,7 +34,7 @@ class Packing:
 
     @property
     def token(self) -> str:
-        return rf"{self.run}|\s++|[\s\S]"
+        return rf"{_QUOTED}|{self.run}|\s++|[\s\S]" if self.listed else rf"{self.run}|\s++|[\s\S]"
 
 
 # The characters of the values of each kind of field.
@@ -45,10 +49,12 @@ def tokens(text: Column, packing: Packing) -> Column:
 
 
 def skeleton(toks: Column, packing: Packing) -> Column:
-    """One character per token: `x` a run with a letter or digit, `o` one without, a blank, or the packing character."""
+    """One character per token: `x` a run or quoted value with a letter or digit, `o` one without, a blank, or the packing character."""
 
     def mask(t: Column) -> Column:
         run = t.rlike(rf"\A{packing.run}\z")
+        if packing.listed:
+            run = run | ((F.length(t) > 1) & t.rlike("""\\A["']"""))
         return (
             F.when(run & t.rlike("[A-Za-z0-9]"), "x")
             .when(run, "o")
@@ -196,6 +202,8 @@ def split_packed(packed: DataFrame) -> DataFrame:
         F.arrays_zip("starts", "lengths"), lambda r: F.array_join(F.slice("tokens", r["starts"] + 1, r["lengths"]), "")
     )
     plain = F.when(F.col("doubled"), F.transform(text, lambda t: F.replace(t, F.lit('""'), F.lit('"')))).otherwise(text)
+    edges = r"""\A[\s"']+|[\s"']+\z"""
+    plain = F.when(F.col("packing") == LISTED.name, F.transform(plain, lambda t: F.regexp_replace(t, edges, ""))).otherwise(plain)
     return (
         packed.join(rules, ["packing", "skeleton"])
         .select("table_name", "record_id", "field_name", F.posexplode(plain).alias("at", "item_text"))
