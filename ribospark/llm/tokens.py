@@ -65,10 +65,17 @@ def boundaries(text: str) -> list[int]:
     return [m.end() for m in _splitter().finditer(text)]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that a worker holds the lists of few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _encode_whole(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
-        for batch in batches:
+        for batch in _slices(batches):
             ids = [enc.encode_ordinary(t) if t else [] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -95,7 +102,7 @@ def _cut(chunk: int, overlap: int):
 
 
 def _pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         ends = [boundaries(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.list_(pa.int32()))], [*batch.schema.names, "ends"])
 
@@ -103,7 +110,7 @@ def _pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _encode_pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             cols = [batch.column(c).to_pylist() for c in ("text", "ends", "start", "stop")]
             for text, ends, start, stop in zip(*cols, strict=True):
