@@ -106,9 +106,56 @@ refs AS (
   SELECT * FROM refs r WHERE k IS NOT NULL AND k NOT IN ('', '-', '.') AND NOT EXISTS (
     SELECT 1 FROM spans s WHERE s.kind = r.kind AND s.k = r.k AND s.added_at <= r.called_at AND (s.retired_at IS NULL OR r.called_at < s.retired_at))
 )"""
+_NUM = "[0-9]+(\\.[0-9]+)?([eE][+-]?[0-9]+)?"
+_POS = "0*[1-9][0-9]*"
+
+
+def _cell(name: str) -> str:
+    return f"regexp_replace(fields[list_position(names, '{name}')], '^\"(.*)\"$', '\\1')"
+
+
+def _fails(name: str, check: str) -> str:
+    """SQL that is true where a line has the column and its value isn't valid."""
+    v = _cell(name)
+    good = {
+        "digits": f"regexp_full_match({v}, '[0-9]+')",
+        "number": f"regexp_full_match({v}, '{_NUM}')",
+        "probability": f"({v} = 'NA' OR (regexp_full_match({v}, '{_NUM}') AND TRY_CAST({v} AS DOUBLE) <= 1))",
+        "cdna": f"(regexp_full_match({v}, '-|{_POS}|\\?-{_POS}|{_POS}-\\?') OR (regexp_full_match({v}, '{_POS}-{_POS}') AND "
+        f"TRY_CAST(split_part({v}, '-', 1) AS HUGEINT) <= TRY_CAST(split_part({v}, '-', 2) AS HUGEINT)))",
+    }[check]
+    return f"coalesce(NOT {good}, false)"
+
+
+def _invalid(tool: str) -> str:
+    return " OR ".join(_fails(column, check) for t, column, check in rejects.RULES if t == tool and check != "never")
+
+
+_LINES = f"""b AS (
+  SELECT line_id, file_name, tool, line_no, regexp_replace(line, '\\r$', '') AS s FROM raw_lines WHERE line IS NOT NULL
+), l AS (SELECT * FROM b WHERE trim(s) <> ''
+), d AS (SELECT file_name, min(line_no) AS first FROM l WHERE tool <> 'rmats_mxe' AND s NOT LIKE '#%' GROUP BY file_name
+), h AS (
+  SELECT file_name, arg_max(s, line_no) AS head FROM (
+    SELECT file_name, line_no, s FROM l JOIN d USING (file_name) WHERE tool <> 'rmats_mxe' AND s LIKE '#%' AND line_no < first
+    UNION ALL SELECT file_name, line_no, s FROM l WHERE tool = 'rmats_mxe' AND line_no = 1) GROUP BY file_name
+), f AS (
+  SELECT l.*, string_split(regexp_replace(head, '^#', ''), chr(9)) AS names,
+    regexp_extract_all(chr(9) || s, '\\t("(?:[^"]|"")*"[^\\t]*|[^\\t]*)', 1) AS fields
+  FROM l LEFT JOIN h USING (file_name) WHERE CASE WHEN tool = 'rmats_mxe' THEN line_no > 1 ELSE s NOT LIKE '#%' END
+), r AS (
+  SELECT line_id, tool, CASE
+    WHEN (length(s) - length(replace(s, '"', ''))) % 2 = 1 THEN 'quoting'
+    WHEN names IS NULL THEN 'header'
+    WHEN len(fields) <> len(names) THEN 'column count'
+    WHEN CASE tool WHEN 'star_fusion' THEN {_invalid('star_fusion')} WHEN 'rmats_mxe' THEN {_invalid('rmats_mxe')} ELSE {_invalid('vep')} END THEN 'value'
+  END AS reason FROM f
+)"""
 _CLEAN = "upper(regexp_replace(tx_id, '^\\s+|\\s+$', '', 'g'))"
 
 SQL = {
+    "p1_found": f"WITH {_LINES} SELECT line_id FROM r WHERE reason IS NOT NULL",
+    "p1_reasons": f"WITH {_LINES} SELECT tool, reason, count(*) AS n_lines FROM r WHERE reason IS NOT NULL GROUP BY ALL",
     "p2_found": f"WITH {_REFS} SELECT table_name, record_id, field_name FROM orphan",
     "p2_report": f"""WITH {_REFS} SELECT table_name, field_name, CAST(date_trunc('month', called_at) AS DATE) AS period,
         count(*) AS n_orphans, count(DISTINCT k) AS n_keys FROM orphan GROUP BY ALL""",
