@@ -8,6 +8,7 @@ end to end with gaps, and a variant an event at the place of its value. The SQL
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -440,7 +441,17 @@ _LABELLED = f"""{_peptides(f'({_TRYPSIN} AND NOT {_EXCEPTION})')}, l AS (
 )"""
 _ORDER = ["law_reports", "court_site", *(s for s in _SOURCES if s not in ("law_reports", "court_site"))]
 
+_ALL_SOURCES = [*sorted(_SOURCES), fixed.SOURCE_NOVEL_ORF, fixed.SOURCE_SECT, fixed.SOURCE_CODON_REASSIGNMENT]
+_COMBOS = ["-".join(c) for n in range(1, len(_ALL_SOURCES) + 1) for c in combinations(_ALL_SOURCES, n)]
+
 SQL = {
+    "summary_by_source": f"""WITH {_LABELLED}, b AS (SELECT seq, min(source) AS s FROM l GROUP BY seq), bc AS (
+          SELECT b.seq, s, substr(b.seq, i, 1) AS c, CASE WHEN i > 1 THEN substr(b.seq, i - 1, 1) ELSE '' END AS b, substr(b.seq, i + 1, 1) AS a
+          FROM b, LATERAL (SELECT unnest(range(1, length(b.seq) + 1)) AS i)
+        ), m AS (SELECT seq, s AS sources, count(*) FILTER (WHERE {_TRYPSIN} AND NOT {_EXCEPTION}) AS misc FROM bc GROUP BY ALL
+        ), j AS (SELECT sources, count(*) AS n_total, count(*) FILTER (WHERE misc = 0) AS n_0_misc, count(*) FILTER (WHERE misc = 1) AS n_1_misc, count(*) FILTER (WHERE misc = 2) AS n_2_misc FROM m GROUP BY sources)
+        SELECT k.sources, coalesce(n_total, 0) AS n_total, coalesce(n_0_misc, 0) AS n_0_misc, coalesce(n_1_misc, 0) AS n_1_misc, coalesce(n_2_misc, 0) AS n_2_misc
+        FROM (SELECT unnest({_COMBOS}) AS sources) k LEFT JOIN j USING (sources)""",
     "canonical_pool": f"WITH {_POOL} SELECT seq FROM k",
     "digest_trypsin": f"WITH {_peptides(_TRYPSIN)} SELECT DISTINCT doc_id, pep FROM d",
     "digest_trypsin_exception": f"WITH {_peptides(f'({_TRYPSIN} AND NOT {_EXCEPTION})')} SELECT DISTINCT doc_id, pep FROM d",
