@@ -3,7 +3,7 @@
 Interpolated character n-gram models (orders 1 to 3 over a bounded alphabet, backed by character classes) are trained
 on the counts of all clean records. Every run of non-ASCII characters is rewritten by every candidate chain of
 encode-decode steps, each rewriting is scored in its context, and the likeliest is accepted if it beats the text as it
-stands by a margin. The margin is validated on clean records: as they are, and garbled on purpose.
+stands by a margin. The margin is validated on all distinct contexts of the clean records: as they are, and garbled on purpose.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ribospark.session import checkpointed
+
 #: Codecs by which UTF-8 is misread, and pairs (read as, was) of single-byte codecs mistaken for one another.
 MISREAD_UTF8 = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850")
 MISREAD_BYTES = (
@@ -35,9 +37,11 @@ MISREAD_BYTES = (
 )
 #: A chain has at most this many UTF-8 steps (text garbled twice or three times).
 MAX_STEPS = 3
-#: At most so many clean records are garbled on purpose to validate the margin.
-VALIDATION_RECORDS = 1_000
 CONTEXT = 2
+#: Gains are counted by steps of this part of a nat, and no margin is higher than ``MOST``.
+STEPS, MOST = 100, 20.0
+#: A worker holds distinct contexts up to so many characters before it passes them on.
+HELD_CHARACTERS = 4_000_000
 #: Longer runs (whole passages in another script) are judged anew each time instead of being remembered.
 MEMO_LENGTH = 64
 
@@ -123,8 +127,9 @@ def garble(text: str, codec: str, was: str = "utf-8") -> str:
     return "".join(c if c < "\x80" else wrong(c) for c in text)
 
 
-# What ordinary Western text turns into, to keep garbled records out of the training: fixed by rule, not by data.
-_COMMON = [*map(chr, range(0xA0, 0x100)), *"ŒœŠšŽžŸƒ–—‘’‚“”„†‡•…‰‹›€™"]
+# What ordinary Western text, drawn lines and redaction marks turn into, to keep garbled records out of the training
+# and the validation: fixed by rule, not by data.
+_COMMON = [*map(chr, range(0xA0, 0x100)), *"ŒœŠšŽžŸƒ–—‘’‚“”„†‡•…‰‹›€™", *map(chr, range(0x2500, 0x2600))]
 _TRACES = frozenset(garble(c, codec) for c in _COMMON for codec in MISREAD_UTF8)
 
 
@@ -210,8 +215,13 @@ def is_clean(text: str | None, memo: dict[str, bool]) -> bool:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(n, code, count): n-grams of the clean records of a partition; those of ASCII alone only as single and pair."""
+    """(n, code, context, count): n-grams of the clean records of a partition; those of ASCII alone only as single and pair.
+
+    The distinct contexts of their runs come as rows of n = 0.
+    """
     memo: dict[str, bool] = {}
+    contexts: set[str] = set()
+    held = 0
     single, ascii_pairs = np.zeros(ALPHABET, np.int64), np.zeros(128 * 128, np.int64)
     rest: dict[int, Counter] = {2: Counter(), 3: Counter()}
     for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
@@ -220,6 +230,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             memo.clear()
         if not clean:
             continue
+        new = {"".join(_context(t, *m.span())) for t in clean if not t.isascii() for m in _RUN.finditer(t)} - contexts
+        contexts |= new
+        held += sum(map(len, new))
+        if held > HELD_CHARACTERS:
+            yield _context_rows(contexts)
+            contexts, held = set(), 0
         s = symbols("\n\n" + "\n\n".join(clean))
         single += np.bincount(s, minlength=ALPHABET)
         high = s >= 128
@@ -230,16 +246,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         three = high[:-2] | high[1:-1] | high[2:]
         for n, codes in ((2, pair[mixed]), (3, pair[:-1][three].astype(np.int64) * ALPHABET + s[2:][three])):
             rest[n].update(dict(zip(*(x.tolist() for x in np.unique(codes, return_counts=True)), strict=True)))
+    yield _context_rows(contexts)
     used = np.flatnonzero(single)
     pairs = np.flatnonzero(ascii_pairs)
     out = [(1, used, single[used]), (2, pairs // 128 * ALPHABET + pairs % 128, ascii_pairs[pairs])]
     out += [(n, np.fromiter(c.keys(), np.int64, len(c)), np.fromiter(c.values(), np.int64, len(c))) for n, c in rest.items()]
     for n, codes, counts in out:
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(codes), n, np.int32)), pa.array(codes.astype(np.int64)), pa.array(counts.astype(np.int64))], ["n", "code", "count"]
+            [pa.array(np.full(len(codes), n, np.int32)), pa.array(codes.astype(np.int64)), pa.nulls(len(codes), pa.string()), pa.array(counts.astype(np.int64))],
+            ["n", "code", "context", "count"],
         )
 
 
+def _context_rows(contexts: set[str]) -> pa.RecordBatch:
+    zeros = np.zeros(len(contexts), np.int64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(zeros.astype(np.int32)), pa.array(zeros), pa.array(sorted(contexts), pa.string()), pa.array(zeros)], ["n", "code", "context", "count"]
+    )
+
+
 @dataclass
 class Model:
     """Interpolated n-gram probabilities; ``strength`` is the weight of the shorter history."""
@@ -306,48 +331,82 @@ def _context(text: str, a: int, b: int) -> tuple[str, str, str]:
 
 
 def train(documents: DataFrame) -> Model:
-    """The model of all clean records of ``documents``, with a validated margin.
+    """The model of all clean records of ``documents``, with a margin validated on all their distinct contexts.
 
     What is brought to the driver are n-gram counts over an alphabet of fixed size, pairs and triples only as far as
-    clean text has them; triples seen once are left to the smoothing.
+    clean text has them (triples seen once are left to the smoothing), and counts of gains by steps of fixed size.
     """
-    counts = (
+    spark = documents.sparkSession
+    rows = checkpointed(
         documents.select("text")
-        .mapInArrow(_count, "n int, code bigint, count bigint")
-        .groupBy("n", "code")
+        .mapInArrow(_count, "n int, code bigint, context string, count bigint")
+        .groupBy("n", "code", "context")
         .agg(F.sum("count").alias("count"))
-        .where("n < 3 or count > 1")
-        .toArrow()
     )
+    counts = rows.where("n in (1, 2) or n = 3 and count > 1").select("n", "code", "count").toArrow()
     n, code, count = (counts.column(c).to_numpy() for c in ("n", "code", "count"))
     tables = [dict(zip(code[n == k].tolist(), count[n == k].tolist(), strict=True)) for k in (1, 2, 3)]
     model = Model(*tables)
-    sample = documents.select("text").where(F.col("text").isNotNull()).limit(VALIDATION_RECORDS).toArrow()
-    memo: dict[str, bool] = {}
-    clean = [t for t in sample.column("text").to_pylist() if is_clean(t, memo)]
-    model.margins = validated_margins(model, clean)
+    shared = spark.sparkContext.broadcast(model)
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordinary, steps = context_gains(shared.value, (c for b in batches for c in b.column("context").to_pylist()))
+        found = [(k, step, n, ordinary[k]) for k in (0, 1) for step, n in [(-1, 0), *steps[k].items()]]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.float64()]
+        columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, ["kind", "step", "count", "ordinary"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    seen = (
+        rows.where("n = 0")
+        .select("context")
+        .repartition(parts, "context")
+        .mapInArrow(gains, "kind int, step int, count bigint, ordinary double")
+        .groupBy("kind", "step")
+        .agg(F.sum("count").alias("count"), F.max("ordinary").alias("ordinary"))
+        .collect()
+    )
+    model.margins = validated_margins(
+        [max((r.ordinary for r in seen if r.kind == k), default=0.0) for k in (0, 1)],
+        [{r.step: r["count"] for r in seen if r.kind == k and r.step >= 0} for k in (0, 1)],
+    )
     return model
 
 
-def validated_margins(model: Model, clean: list[str], least: tuple[float, float] = (4.0, 14.0), most: float = 20.0) -> tuple[float, float]:
+def context_gains(model: Model, contexts: Iterable[str]) -> tuple[list[float], list[Counter]]:
+    """Of clean contexts, for UTF-8 steps and for single-byte codecs: the highest gain of rewriting one as it is (0 at
+    least), and how many gains of restoring one garbled on purpose, by every chain, fall into each step.
+
+    A step is a hundredth of a nat; below 0 and above 4 times ``MOST`` a gain makes no difference to the margin.
+    """
+    ordinary, steps = [0.0, 0.0], [Counter(), Counter()]
+    chains = [(c, "utf-8", 0) for c in MISREAD_UTF8] + [(read, was, 1) for read, was in MISREAD_BYTES]
+    for context in contexts:
+        left, run, right = context[:CONTEXT], context[CONTEXT:-CONTEXT], context[-CONTEXT:]
+        for kind, (gain, _, _) in enumerate(model.best(left, run, right)):
+            ordinary[kind] = max(ordinary[kind], gain)
+        stands = model.score(context)
+        for codec, was, kind in chains:
+            if (wrong := garble(run, codec, was)) != run:
+                gain = stands - model.score(left + wrong + right)
+                steps[kind][int(min(max(gain, 0.0), 4 * MOST) * STEPS)] += 1
+    return ordinary, steps
+
+
+def validated_margins(ordinary: list[float], steps: list[dict[int, int]], least: tuple[float, float] = (4.0, 14.0), most: float = MOST) -> tuple[float, float]:
     """Margins above the gains of rewriting clean text and, as far as may be, below those of restoring garbled text.
 
     For UTF-8 steps and for single-byte codecs: a quarter of the way from the highest of the former to the hundredth
     part of the latter, at least 1 above the former, and within [least, most]. Single-byte codecs turn letters into letters, so
     their margin starts higher; a garbled document has many runs, of which one must pass.
     """
-    contexts = sorted({_context(t, m.start(), m.end()) for t in clean for m in _RUN.finditer(t)})
-    ordinary = [0.0, 0.0]
-    for c in contexts:
-        for kind, (gain, _, _) in enumerate(model.best(*c)):
-            ordinary[kind] = max(ordinary[kind], gain)
-    gains: tuple[list[float], list[float]] = ([], [])
-    chains = [(c, "utf-8", 0) for c in MISREAD_UTF8] + [(read, was, 1) for read, was in MISREAD_BYTES]
-    for left, run, right in contexts[:: max(1, len(contexts) // 300)]:
-        for codec, was, kind in chains:
-            if (wrong := garble(run, codec, was)) != run:
-                gains[kind].append(model.score(left + run + right) - model.score(left + wrong + right))
-    low = [float(np.quantile(g, 0.01)) if g else most for g in gains]
+    low = [most, most]
+    for k, counts in enumerate(steps):
+        rank = sum(counts.values()) // 100
+        for step in sorted(counts):
+            low[k], rank = step / STEPS, rank - counts[step]
+            if rank < 0:
+                break
     return tuple(min(most, max(least[k], ordinary[k] + 1, (3 * ordinary[k] + low[k]) / 4)) for k in (0, 1))
 
 

@@ -70,3 +70,20 @@ def test_nulls_empty_and_long(spark, model):
     assert set(found(spark, texts, model)) == {4}
     assert mj.garbled_documents(frame(spark, ["a"]).limit(0)).count() == 0
     assert mj.garbled_documents(frame(spark, [None, ""])).count() == 0
+
+
+def test_every_clean_context_counts(spark, clean):
+    # contexts that rewriting makes likelier, behind more rows than a sample of the first ones would hold
+    plain = ["All is well in the “old” court, said the judge."] * 1_500
+    odd = ["costs á la carte"]
+    texts = [*plain, *odd]
+    model = mj.train(frame(spark, texts).coalesce(1))
+    contexts = {"".join(mj._context(t, m.start(), m.end())) for t in texts for m in mj._RUN.finditer(t)}
+    assert model.margins == mj.validated_margins(*mj.context_gains(model, contexts))
+    assert model.margins != mj.validated_margins(*mj.context_gains(model, [c for c in contexts if "á" not in c]))
+    assert model.margins == mj.train(frame(spark, texts[::-1]).repartition(5)).margins
+
+
+def test_garbled_marks_are_not_clean(spark, clean):
+    texts = [mj.garble("the ██ was", c) for c in mj.MISREAD_UTF8]
+    assert not any(mj.is_clean(t, {}) for t in texts) and mj.is_clean("the ██ was", {})
