@@ -31,37 +31,56 @@ QUOTING, COUNT, HEADER = "*quoting*", "*column count*", "*header*"
 TOOLS = sorted({tool for tool, _, _ in RULES})
 RULES += [(tool, column, "never") for tool in TOOLS for column in (QUOTING, COUNT, HEADER)]
 
-#: Typed columns of the valid rows: output name, file column, type.
+#: Typed columns of the valid rows, every column of the files' headers: output name, file column, type. A file column
+#: that is listed again stands for its next occurrence in the header.
 TYPED = {
     "star_fusion": [
         ("fusion_name", "FusionName", "string"),
-        ("junction_read_count", "JunctionReadCount", "int"),
-        ("spanning_frag_count", "SpanningFragCount", "int"),
+        ("junction_read_count", "JunctionReadCount", "bigint"),
+        ("spanning_frag_count", "SpanningFragCount", "bigint"),
         ("est_j", "est_J", "double"),
         ("est_s", "est_S", "double"),
+        ("splice_type", "SpliceType", "string"),
         ("left_gene", "LeftGene", "string"),
         ("left_breakpoint", "LeftBreakpoint", "string"),
         ("right_gene", "RightGene", "string"),
         ("right_breakpoint", "RightBreakpoint", "string"),
+        ("junction_reads", "JunctionReads", "string"),
+        ("spanning_frags", "SpanningFrags", "string"),
+        ("large_anchor_support", "LargeAnchorSupport", "string"),
         ("ffpm", "FFPM", "double"),
+        ("left_break_dinuc", "LeftBreakDinuc", "string"),
+        ("left_break_entropy", "LeftBreakEntropy", "double"),
+        ("right_break_dinuc", "RightBreakDinuc", "string"),
+        ("right_break_entropy", "RightBreakEntropy", "double"),
         ("annots", "annots", "string"),
     ],
     "rmats_mxe": [
+        ("event_id", "ID", "bigint"),
         ("gene_id", "GeneID", "string"),
         ("gene_symbol", "geneSymbol", "string"),
         ("chrom", "chr", "string"),
         ("strand", "strand", "string"),
-        ("first_exon_start", "1stExonStart_0base", "int"),
-        ("first_exon_end", "1stExonEnd", "int"),
-        ("second_exon_start", "2ndExonStart_0base", "int"),
-        ("second_exon_end", "2ndExonEnd", "int"),
-        ("upstream_exon_start", "upstreamES", "int"),
-        ("upstream_exon_end", "upstreamEE", "int"),
-        ("downstream_exon_start", "downstreamES", "int"),
-        ("downstream_exon_end", "downstreamEE", "int"),
+        ("first_exon_start", "1stExonStart_0base", "bigint"),
+        ("first_exon_end", "1stExonEnd", "bigint"),
+        ("second_exon_start", "2ndExonStart_0base", "bigint"),
+        ("second_exon_end", "2ndExonEnd", "bigint"),
+        ("upstream_exon_start", "upstreamES", "bigint"),
+        ("upstream_exon_end", "upstreamEE", "bigint"),
+        ("downstream_exon_start", "downstreamES", "bigint"),
+        ("downstream_exon_end", "downstreamEE", "bigint"),
+        ("event_id_again", "ID", "bigint"),
         ("ijc_sample_1", "IJC_SAMPLE_1", "string"),
+        ("sjc_sample_1", "SJC_SAMPLE_1", "string"),
+        ("ijc_sample_2", "IJC_SAMPLE_2", "string"),
+        ("sjc_sample_2", "SJC_SAMPLE_2", "string"),
+        ("inc_form_len", "IncFormLen", "bigint"),
+        ("skip_form_len", "SkipFormLen", "bigint"),
         ("pvalue", "PValue", "double"),
         ("fdr", "FDR", "double"),
+        ("inc_level_1", "IncLevel1", "string"),
+        ("inc_level_2", "IncLevel2", "string"),
+        ("inc_level_difference", "IncLevelDifference", "double"),
     ],
     "vep": [
         ("uploaded_variation", "Uploaded_variation", "string"),
@@ -72,6 +91,12 @@ TYPED = {
         ("feature_type", "Feature_type", "string"),
         ("consequences", "Consequence", "string"),
         ("cdna_position", "cDNA_position", "string"),
+        ("cds_position", "CDS_position", "string"),
+        ("protein_position", "Protein_position", "string"),
+        ("amino_acids", "Amino_acids", "string"),
+        ("codons", "Codons", "string"),
+        ("existing_variation", "Existing_variation", "string"),
+        ("extra", "Extra", "string"),
     ],
 }
 
@@ -107,7 +132,10 @@ def _is_blank(line: Column) -> Column:
 
 
 def file_headers(lines: DataFrame) -> DataFrame:
-    """(file_name, names): line 1 of an rmats_mxe file, else the last `#` line before the file's first data line."""
+    """(file_name, names, keys): line 1 of an rmats_mxe file, else the last `#` line before the file's first data line.
+
+    A key is a name with its occurrence before it, as in `2:ID`.
+    """
     base = lines.select("file_name", "tool", "line_no", _bare(F.col("line")).alias("line")).where(
         F.col("line").isNotNull() & ~_is_blank(F.col("line"))
     )
@@ -125,11 +153,15 @@ def file_headers(lines: DataFrame) -> DataFrame:
         .agg(F.max_by("line", "line_no").alias("line"))
     )
     names = F.transform(split_fields(F.regexp_replace("line", r"\A#", "")), unquoted)
-    return last.select("file_name", names.alias("names"))
+    keys = F.transform(
+        "names",
+        lambda n, i: F.concat(F.size(F.filter(F.slice("names", F.lit(1), i + 1), lambda m: m == n)).cast("string"), F.lit(":"), n),
+    )
+    return last.select("file_name", names.alias("names")).select("file_name", "names", keys.alias("keys"))
 
 
 def data_lines(lines: DataFrame) -> DataFrame:
-    """Every data line with its fields and the names of its file's header (null if the file has none)."""
+    """Every data line with its fields and the names and keys of its file's header (null if the file has none)."""
     line = _bare(F.col("line"))
     data = lines.select("line_id", "file_name", "tool", "line_no", line.alias("line")).where(
         F.col("tool").isin(TOOLS)
@@ -209,17 +241,39 @@ def rejected_lines(lines: DataFrame) -> DataFrame:
 
 
 def valid_rows(lines: DataFrame, tool: str) -> DataFrame:
-    """The valid data lines of one tool as typed rows: line_id, file_name, line_no and the columns of ``TYPED[tool]``.
+    """The valid data lines of one tool as typed rows: line_id, file_name, line_no, the columns of ``TYPED[tool]``, other.
 
-    A column that the file lacks, NA and the empty string come out null where the type is a number.
+    A column that the file lacks, NA and the empty string come out null where the type is a number. ``other`` holds
+    (pos, name, value) of every field that no typed column holds: unlisted columns, further occurrences of a name, and
+    text that isn't a number of its column's type.
     """
     own = lines.where(F.col("tool") == tool)
     bad = failing_cells(own).select(F.col("line_id").alias("bad_id")).distinct()
     good = data_lines(own)
     good = good.join(bad, good.line_id.eqNullSafe(bad.bad_id), "left_anti")
 
-    def cell(name: str, kind: str) -> Column:
-        value = unquoted(F.get("fields", F.array_position("names", F.lit(name)).cast("int") - 1))
-        return value if kind == "string" else value.try_cast(kind)
-
-    return good.select("line_id", "file_name", "line_no", *(cell(c, k).alias(n) for n, c, k in TYPED[tool]))
+    listed: dict[str, str] = {}
+    columns = []
+    for name, column, kind in TYPED[tool]:
+        key = f"{sum(k.partition(':')[2] == column for k in listed) + 1}:{column}"
+        listed[key] = kind
+        value = unquoted(F.get("fields", F.array_position("keys", F.lit(key)).cast("int") - 1))
+        columns.append((value if kind == "string" else value.try_cast(kind)).alias(name))
+
+    def unheld(field: Column) -> Column:
+        key, value = field["key"], field["value"]
+        out = ~key.isin(*listed)
+        for kind in {*listed.values()} - {"string"}:
+            number = value.try_cast(kind)
+            lost = number.isNull() | (F.abs(number.cast("double")) == float("inf"))
+            out = out | (key.isin(*(k for k, of in listed.items() if of == kind)) & ~value.isin("", "NA") & lost)
+        return out
+
+    fields = F.transform(
+        "fields",
+        lambda f, i: F.struct(
+            F.get("keys", i).alias("key"), (i + 1).alias("pos"), F.get("names", i).alias("name"), unquoted(f).alias("value")
+        ),
+    )
+    other = F.transform(F.filter(fields, unheld), lambda f: F.struct(f["pos"].alias("pos"), f["name"].alias("name"), f["value"].alias("value")))
+    return good.select("line_id", "file_name", "line_no", *columns, other.alias("other"))

@@ -123,3 +123,45 @@ def test_valid_rows_are_typed(spark):
     df = lines(spark, "star_fusion", "#FusionName\tJunctionReadCount\tFFPM\tJunctionReadCount", "A--B\t3\t0.25\t4", "A--B\t3\tx\t4")
     (row,) = rejects.valid_rows(df, "star_fusion").collect()
     assert (row.fusion_name, row.junction_read_count, row.ffpm, row.est_j) == ("A--B", 3, 0.25, None)
+
+
+@pytest.mark.parametrize("tool", rejects.TOOLS)
+def test_valid_rows_keep_every_field(spark, tool):
+    path = "/root/testdata/sf0.01/raw_lines.parquet"
+    rows = [r for r in pq.read_table(path, columns=["line_id", "file_name", "tool", "line_no", "line"]).to_pylist() if r["tool"] == tool]
+    bad, heads, started, want = failing(rows), {}, set(), {}
+    for r in sorted(rows, key=lambda r: (r["file_name"], r["line_no"])):
+        line = re.sub(r"\r\Z", "", r["line"] or "")
+        if not line.strip(" "):
+            continue
+        if (r["line_no"] == 1) if tool == "rmats_mxe" else line.startswith("#"):
+            if r["file_name"] not in started:
+                heads[r["file_name"]] = [value(f) for f in fields(line.removeprefix("#"))]
+            continue
+        started.add(r["file_name"])
+        if r["line_id"] not in bad:
+            want[r["line_id"]] = dict(enumerate(zip(heads[r["file_name"]], map(value, fields(line)), strict=True), 1))
+    got = {r.line_id: r for r in rejects.valid_rows(spark.read.parquet(path), tool).collect()}
+    assert set(got) == set(want)
+    for i, cells in want.items():
+        held = {o.pos: (o.name, o.value) for o in got[i].other}
+        left = iter(rejects.TYPED[tool])
+        for pos, (name, text) in cells.items():
+            if pos in held:
+                assert held[pos] == (name, text)
+                continue
+            out, _, kind = next(x for x in left if x[1] == name)
+            typed = got[i][out]
+            assert typed == text if kind == "string" else (typed is None) == (text in ("", "NA")) and (typed is None or typed == float(text))
+
+
+def test_fields_that_no_column_holds(spark):
+    head = "#FusionName\tJunctionReadCount\tnew\tFusionName\tFFPM\tLeftBreakEntropy\tnew"
+    df = lines(spark, "star_fusion", head, "A--B\t3000000000\tx\tC--D\t0.5\t.\t", "A--B\t" + "9" * 30 + "\tx\t\t1e999\tNA\ty")
+    one, two = sorted(rejects.valid_rows(df, "star_fusion").collect(), key=lambda r: r.line_id)
+    assert (one.fusion_name, one.junction_read_count, one.ffpm, one.left_break_entropy) == ("A--B", 3_000_000_000, 0.5, None)
+    assert [tuple(o) for o in one.other] == [(3, "new", "x"), (4, "FusionName", "C--D"), (6, "LeftBreakEntropy", "."), (7, "new", "")]
+    assert two.junction_read_count is None
+    assert [tuple(o) for o in two.other] == [
+        (2, "JunctionReadCount", "9" * 30), (3, "new", "x"), (4, "FusionName", ""), (5, "FFPM", "1e999"), (7, "new", "y"),
+    ]
