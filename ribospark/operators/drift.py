@@ -104,13 +104,26 @@ def _gaps(keys: list, shared: set) -> list[list]:
     return out
 
 
+def _name_new(schema: Schema, inherited: set[tuple[str, int]]) -> None:
+    """Names the columns that ``schema`` inherits no name for: their own if no other column holds it, else numbered."""
+    held = {schema.canonical[k] for k in inherited}
+    for k in sorted((k for k in schema.keys if k not in inherited), key=lambda k: k[1]):
+        name, n = k[0], 1
+        while name in held:
+            n += 1
+            name = f"{k[0]}#{n}"
+        schema.canonical[k] = name
+        held.add(name)
+
+
 def fold(last: Schema | None, names: list[str], ranks: list[int]) -> tuple[Schema, list[tuple]]:
     """The schema after a file, and the file's changes (field_name, kind, old name, old type, new type) in column order."""
     keys = _keys(names)
     rank = dict(zip(keys, ranks, strict=False))
+    new = Schema(keys, rank)
     if last is None:
-        return Schema(keys, rank, {k: k[0] for k in keys}), []
-    new = Schema(keys, rank, {k: k[0] for k in keys})
+        _name_new(new, set())
+        return new, []
     shared = set(last.keys) & set(keys)
     came_from = {k: k for k in shared}
     gone: list = [k for k in last.keys if k not in shared]
@@ -137,6 +150,7 @@ def fold(last: Schema | None, names: list[str], ranks: list[int]) -> tuple[Schem
             changes.append((k[0], "renamed", a[0], LATTICE[before], LATTICE[new.rank[k]]))
         if NONE not in (before, rank[k]) and before != rank[k]:
             changes.append((k[0], "retyped", a[0], LATTICE[before], LATTICE[rank[k]]))
+    _name_new(new, set(came_from))
     return new, changes
 
 
@@ -199,6 +213,8 @@ def unified_table(lines: DataFrame) -> DataFrame:
     """All data lines under the union schema: file_id, stream_id, tool, line_no and every canonical column, cast.
 
     A renamed column goes under the name it first had in its stream; NA, blank and columns the file lacks are null.
+    A column whose name another column of its file goes under is numbered, as in `depth#2`, so that each has its own;
+    so is one whose name differs from another's by case only.
     """
     folded = checkpointed(folded_schemas(lines))
     columns = union_schema(folded)
@@ -215,8 +231,14 @@ def unified_table(lines: DataFrame) -> DataFrame:
         v = F.when(~F.trim(v).isin("", "NA"), F.trim(v))
         return v if kind in ("text", "none") else v.try_cast(SPARK_TYPES[kind])
 
-    reserved = {"file_id", "stream_id", "tool", "line_no"}
-    return joined.select(
-        "file_id", "stream_id", "tool", "line_no",
-        *(cell(n, k).alias(f"{n}_" if n in reserved else n) for n, k in columns),
-    )
+    reserved = ("file_id", "stream_id", "tool", "line_no")
+    out, held = [], {*reserved}
+    for n, k in columns:
+        name = first = f"{n}_" if n.lower() in reserved else n
+        number = 1
+        while name.lower() in held:  # Spark's writers don't tell names by case
+            number += 1
+            name = f"{first}#{number}"
+        held.add(name.lower())
+        out.append(cell(n, k).alias(name))
+    return joined.select(*reserved, *out)

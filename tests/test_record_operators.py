@@ -91,6 +91,20 @@ def test_unified_table(spark):
     assert drift.schema_changes(df.limit(0)).count() == 0
 
 
+def test_unified_table_keeps_columns_of_one_name(spark):
+    df = lines(spark, ("#a\tX", "1\t2"), ("#a\tY", "3\t4"), ("#a\tY\tX", "5\t6\t7"), ("#a\tX", "8\t9"))
+    rows = {r.file_id: r.asDict() for r in drift.unified_table(df).collect()}
+    got = {f: (r["a"], r["X"], r["X#2"]) for f, r in rows.items()}
+    assert got == {"f0": (1, 2, None), "f1": (3, 4, None), "f2": (5, 6, 7), "f3": (8, None, 9)}
+    twice = lines(spark, ("#a\ta\ta#2\tb", "1\t2\t3\tx"), ("#a\ta\ta\ta#2\tb", "4\t5\t6\t7\ty"))
+    rows = sorted(drift.unified_table(twice).collect(), key=lambda r: r.file_id)
+    assert [(r["a"], r["a#3"], r["a#2"], r["b"]) for r in rows] == [(1, 2, 3, "x"), (4, 5, 7, "y")]
+    assert rows[1]["a#4"] == 6
+    case = drift.unified_table(lines(spark, ("#b\tB", "1\tx"), ("#b\tB", "2\ty")))
+    assert len({c.lower() for c in case.columns}) == len(case.columns)
+    assert sorted((r["b"], r["B#2"]) for r in case.collect()) == [(1, "x"), (2, "y")]
+
+
 def test_drift_against_a_plain_fold(spark):
     path = "/root/testdata/sf0.01/drift_lines.parquet"
     streams = defaultdict(lambda: defaultdict(list))
