@@ -1,13 +1,14 @@
 """Variant files as they arrive: a stream of records without repeats, and peptide units to be called again.
 
 Files are finite and read once, so the sensible trigger is availableNow. Repeats are dropped by the key of a record
-within a watermark on its arrival, which bounds the state.
+within a watermark on the time it is read, which bounds the state, and those that come later by the written table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,7 +20,9 @@ KEY = ("tx_id", "gene_id", "start", "end", "ref", "alt", "type")
 
 def arriving(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
     """Variant records of the files that appear in a folder, with the time each file came."""
-    lines = spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(folder).select(
+    # by default the source ignores files that are a week older than the latest one
+    source = spark.readStream.format("text").option("maxFilesPerTrigger", max_files).option("maxFileAge", "36500d")
+    lines = source.load(folder).select(
         "value", F.col("_metadata.file_modification_time").alias("arrived")
     )
     f = F.split(F.regexp_replace("value", r"\s+\z", ""), "\t")
@@ -38,15 +41,32 @@ def arriving(spark: SparkSession, folder: str, max_files: int = 100) -> DataFram
 
 
 def without_repeats(records: DataFrame, late: str = "7 days") -> DataFrame:
-    """Records whose key wasn't seen before, as far back as the watermark reaches; later repeats come through again."""
-    return records.withWatermark("arrived", late).dropDuplicatesWithinWatermark(list(KEY))
+    """Records whose key wasn't read before, as far back as the watermark reaches; later repeats come through again.
+
+    The watermark is on the time of reading, so that files with an old modification time aren't taken for late.
+    """
+    read = records.withColumn("read_at", F.current_timestamp()).withWatermark("read_at", late)
+    return read.dropDuplicatesWithinWatermark(list(KEY)).drop("read_at")
+
+
+def _unwritten(df: DataFrame, path: str) -> DataFrame:
+    """One record of each key of ``df`` that the table at ``path`` doesn't hold."""
+    df = df.dropDuplicates(list(KEY))
+    try:
+        held = df.sparkSession.read.schema(df.schema).parquet(path).select(*(F.col(k).alias(f"held_{k}") for k in KEY))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return df
+    same = [df[k].eqNullSafe(held[f"held_{k}"]) for k in KEY]
+    return df.join(held, same, "left_anti")
 
 
 def ingest(records: DataFrame, path: str, checkpoint: str, after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Appends what arrived to Parquet, batch by batch; ``after`` gets each batch's transcripts, whose peptides have changed."""
+    """Appends what arrived and isn't written yet to Parquet, batch by batch; ``after`` gets each batch's transcripts, whose peptides have changed."""
 
     def batch(df: DataFrame, epoch: int) -> None:
-        df.write.mode("append").parquet(path)
+        _unwritten(df, path).write.mode("append").parquet(path)
         if after is not None:
             after(df.select("tx_id").distinct())
 

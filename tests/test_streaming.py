@@ -1,5 +1,8 @@
 """Arriving variant files: repeats are dropped, and a second run reads only what is new."""
 
+import os
+import time
+
 from ribospark.streaming import variants
 
 LINE = "G1\t{p}\tSNV-{p}-A-T\tA\tT\t.\t.\tTRANSCRIPT_ID=T{p};GENE_SYMBOL=X\n"
@@ -23,3 +26,21 @@ def test_files_arrive(spark, tmp_path):
     rows = spark.read.parquet(out).collect()
     assert sorted(r.start for r in rows) == [4, 5, 6, 8]
     assert {r.type for r in rows} == {"SNV"} and set(seen) == {"T5", "T6", "T7", "T9"}
+
+
+def test_files_with_an_old_time(spark, tmp_path):
+    inbox, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    inbox.mkdir()
+
+    def run(name, state, days, *places):
+        (inbox / name).write_text("".join(LINE.format(p=p) for p in places))
+        then = time.time() - days * 86_400
+        os.utime(inbox / name, (then, then))
+        variants.ingest(variants.without_repeats(variants.arriving(spark, str(inbox))), out, state).awaitTermination()
+        return sorted(r.start for r in spark.read.parquet(out).collect())
+
+    assert run("a.gvf", state, 0, 5) == [4]
+    assert run("b.gvf", state, 0, 6) == [4, 5]
+    assert run("c.gvf", state, 30, 5, 7) == [4, 5, 6]
+    # a second stream knows only the written table
+    assert run("d.gvf", str(tmp_path / "other"), 0, 7, 8) == [4, 5, 6, 7]
