@@ -1,15 +1,18 @@
-"""Encoding of a corpus with a byte-level BPE vocabulary, long texts by overlapping chunks.
+"""Encoding of a corpus with a byte-level BPE vocabulary by overlapping chunks.
 
-A text is cut into chunks that overlap. The chunks are pre-tokenised in parallel; two neighbours are stitched at the
-first pre-token boundary on which both agree, from where on they must agree; then the pieces between the stitches are
-encoded. Decoding concatenates the raw bytes of the tokens.
+Every text is cut into chunks that overlap; a short one is a text of one chunk. The chunks are pre-tokenised, two
+neighbours are stitched at the first pre-token boundary on which both agree, from where on they must agree, and the
+pre-tokens between the stitches are encoded. Decoding concatenates the raw bytes of the tokens. A task does so for the
+chunks of the texts it holds; the chunks of a text that is long for one task are spread over the cluster.
 """
 
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,8 +25,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that cuts text into pre-tokens for this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Characters of a chunk without its overlap, and of the overlap. Longer texts are cut.
-CHUNK, OVERLAP = 4_096, 256
+#: Characters of a chunk without its overlap, and of the overlap.
+CHUNK, OVERLAP = 1_024, 128
+#: Chunks of a text that one task works on; those of a longer text are spread over the tasks.
+TASK_CHUNKS = 1_024
 #: A boundary this close to the end of a cut chunk may depend on what follows.
 _MARGIN = 8
 
@@ -60,9 +65,70 @@ def decode(ids: list[int], path: str = VOCABULARY) -> str:
     return b"".join(tokens[i] for i in ids).decode("utf-8")
 
 
+def pre_tokens(text: str) -> list[str]:
+    return _splitter().findall(text)
+
+
 def boundaries(text: str) -> list[int]:
     """Ends of the pre-tokens of a text."""
-    return [m.end() for m in _splitter().finditer(text)]
+    return list(accumulate(map(len, pre_tokens(text))))
+
+
+class Pieces(dict):
+    """Pre-token -> its token ids. What is remembered is bounded; long pre-tokens are encoded anew."""
+
+    SIZE, LENGTH = 500_000, 40
+
+    def __init__(self, path: str):
+        super().__init__()
+        self._encode = encoding(path)._encode_single_piece
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self._encode(piece)
+        if len(piece) <= self.LENGTH:
+            if len(self) >= self.SIZE:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+    def ids(self, tokens: Iterator[str]) -> Iterator[int]:
+        return chain.from_iterable(map(self.__getitem__, tokens))
+
+
+def stitch(ends: list[int], following: list[int], chunk: int, overlap: int) -> int | None:
+    """Where a chunk and the one after it are cut, counted in the latter: the least boundary on which both agree.
+
+    ``ends`` and ``following`` are their boundaries. Those of the former too close to its end don't count; the start
+    of the latter is one of its own. None if they agree on none.
+    """
+    tail = ends[bisect_left(ends, chunk) : bisect_right(ends, ends[-1] - _MARGIN)]
+    head = {0, *following[: bisect_right(following, overlap)]}
+    return next((e - chunk for e in tail if e - chunk in head), None)
+
+
+def stitched_tokens(text: str, chunk: int, overlap: int) -> tuple[Iterator[str], int]:
+    """The pre-tokens of a text, from its chunks, and how often two neighbours agreed on no boundary.
+
+    Such a chunk is made twice as long and tried again; in the end it is the rest of the text.
+    """
+    out, joined = [], 0
+    at, end, start = 0, chunk, 0
+    tokens = pre_tokens(text[: end + overlap])
+    own = list(accumulate(map(len, tokens)))
+    while end < len(text):
+        following = pre_tokens(text[end : end + chunk + overlap])
+        ends = list(accumulate(map(len, following)))
+        cut = stitch(own, ends, end - at, overlap)
+        if cut is None:
+            joined += 1
+            end = at + 2 * (end - at)
+            tokens = pre_tokens(text[at : end + overlap])
+            own = list(accumulate(map(len, tokens)))
+        else:
+            out.append(islice(tokens, bisect_right(own, start) if start else 0, bisect_right(own, cut + end - at)))
+            at, end, start, tokens, own = end, end + chunk, cut, following, ends
+    out.append(islice(tokens, bisect_right(own, start) if start else 0, None))
+    return chain.from_iterable(out), joined
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -72,12 +138,24 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def _encode_whole(path: str):
+def _lists(rows: Iterator[Iterator[int]]) -> pa.Array:
+    flat, offsets = [], [0]
+    for ids in rows:
+        flat += ids
+        offsets.append(len(flat))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+
+
+def _encode(path: str, chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
+        pieces = Pieces(path)
+
+        def encoded(text: str | None) -> Iterator[int]:
+            return pieces.ids(stitched_tokens(text, chunk, overlap)[0]) if text else iter(())
+
         for batch in _slices(batches):
-            ids = [enc.encode_ordinary(t) if t else [] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids = _lists(map(encoded, batch.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
     return run
 
@@ -109,20 +187,16 @@ def _pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _encode_pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
+        pieces = Pieces(path)
+
+        def own(text: str, ends: list[int], start: int, stop: int) -> Iterator[int]:
+            inside = ends[bisect_right(ends, start) if start else 0 : bisect_right(ends, stop)]
+            return pieces.ids(text[a:b] for a, b in zip([start, *inside], inside, strict=False))
+
         for batch in _slices(batches):
-            out = []
             cols = [batch.column(c).to_pylist() for c in ("text", "ends", "start", "stop")]
-            for text, ends, start, stop in zip(*cols, strict=True):
-                ids: list[int] = []
-                a = start
-                for b in ends:
-                    if a < b <= stop:
-                        ids += enc._encode_single_piece(text[a:b])
-                        a = b
-                out.append(ids)
             keep = [batch.column(c) for c in ("doc_id", "uid", "k")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(out, pa.list_(pa.int32()))], ["doc_id", "uid", "k", "ids"])
+            yield pa.RecordBatch.from_arrays([*keep, _lists(map(own, *cols))], ["doc_id", "uid", "k", "ids"])
 
     return run
 
@@ -150,20 +224,23 @@ def stitched(chunks: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> D
     )
 
 
-def encode_corpus(documents: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode_corpus(
+    documents: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP, task_chunks: int = TASK_CHUNKS
+) -> DataFrame:
     """(doc_id, ids): every row of ``documents`` (doc_id, text) with the token ids of its text, without special tokens.
 
     Null and empty texts give an empty list; blank text is encoded as it is, and strings that look like special tokens
-    are plain text. Texts longer than ``chunk`` characters are encoded chunk by chunk; one whose neighbouring chunks
-    agree on no boundary (an overlap without any, such as one endless word) is encoded in one piece instead. Repeated
-    rows and repeated or null ids give one result per row. Other columns are ignored.
+    are plain text. Every text is encoded chunk by chunk; where neighbouring chunks agree on no boundary (an overlap
+    without any, such as one endless word) the chunk is made longer. The chunks of a text of more than ``task_chunks``
+    are pre-tokenised and encoded by different tasks. Repeated rows and repeated or null ids give one
+    result per row. Other columns are ignored.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     whole_schema = f"doc_id {kind}, ids array<int>"
     docs = documents.select("doc_id", "text")
-    is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
-    short = docs.where(~is_long).mapInArrow(_encode_whole(vocabulary), whole_schema)
-    long = docs.where(is_long).withColumn("uid", F.monotonically_increasing_id())
+    spread = F.coalesce(F.length("text") > chunk * task_chunks, F.lit(False))
+    own_task = docs.where(~spread).mapInArrow(_encode(vocabulary, chunk, overlap), whole_schema)
+    long = docs.where(spread).withColumn("uid", F.monotonically_increasing_id())
     cut = long.mapInArrow(_cut(chunk, overlap), f"doc_id {kind}, uid bigint, k int, text string, last boolean")
     # Written once: the stitching reads the boundaries, the encoding the chunks.
     chunks = checkpointed(
@@ -181,5 +258,17 @@ def encode_corpus(documents: DataFrame, vocabulary: str = VOCABULARY, chunk: int
     # No agreement: put the chunks' own parts together again and encode the text as one.
     own = parts.where(~F.col("agreed")).withColumn("own", F.when(F.col("last"), F.col("text")).otherwise(F.substring("text", 1, chunk)))
     unstitched = own.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_join(in_order("own"), "").alias("text"))
-    rest = unstitched.select("doc_id", "text").mapInArrow(_encode_whole(vocabulary), whole_schema)
-    return short.unionByName(joined.select("doc_id", "ids")).unionByName(rest)
+    rest = unstitched.select("doc_id", "text").mapInArrow(_encode(vocabulary, chunk, overlap), whole_schema)
+    return own_task.unionByName(joined.select("doc_id", "ids")).unionByName(rest)
+
+
+def agreement(documents: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(n_chunks, joined, n): how many texts have so many chunks, and how often one of their chunks had to be made longer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t for t in batch.column("text").to_pylist() if t]
+            counts = [[-(-len(t) // chunk) for t in texts], [stitched_tokens(t, chunk, overlap)[1] for t in texts]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in counts], ["n_chunks", "joined"])
+
+    return documents.select("text").mapInArrow(run, "n_chunks int, joined int").groupBy("n_chunks", "joined").agg(F.count(F.lit(1)).alias("n"))

@@ -31,11 +31,11 @@ def test_defined_cases(spark, whole):
     assert encoded(spark, texts) == whole(texts)
 
 
-@pytest.mark.parametrize("chunk,overlap", [(20, 12), (64, 32)])
-def test_stitched_chunks(spark, whole, chunk, overlap):
+@pytest.mark.parametrize("chunk,overlap,task_chunks", [(20, 12, 1_000), (20, 12, 0), (64, 32, 1_000), (64, 32, 2)])
+def test_stitched_chunks(spark, whole, chunk, overlap, task_chunks):
     rnd = random.Random(chunk)
     texts = ["".join(rnd.choice(PIECES) for _ in range(rnd.randint(0, 400))) for _ in range(300)]
-    got = encoded(spark, texts, chunk=chunk, overlap=overlap)
+    got = encoded(spark, texts, chunk=chunk, overlap=overlap, task_chunks=task_chunks)
     assert got == whole(texts)
     assert [tokens.decode(ids) for ids in got] == texts
 
@@ -47,6 +47,19 @@ def test_documents(spark, whole):
     assert got == dict(zip([r["doc_id"] for r in rows], whole([r["text"] for r in rows]), strict=True))
 
 
+def test_a_text_goes_by_its_chunks():
+    text = "".join(random.Random(1).choice(PIECES) for _ in range(4_000))
+    got, joined = tokens.stitched_tokens(text, 64, 32)
+    assert list(got) == tokens.pre_tokens(text) and joined < len(text) / 64 / 10
+    got, joined = tokens.stitched_tokens("x" * 20_000 + " y", 64, 32)
+    assert list(got) == ["x" * 20_000, " y"] and joined < 12
+
+
+def test_agreement(spark):
+    df = spark.createDataFrame([("a b " * 1_000,), ("x" * 3_000,), ("short",), ("",), (None,)], "text string")
+    assert {(r.n_chunks, r.joined, r.n) for r in tokens.agreement(df).collect()} == {(4, 0, 1), (3, 2, 1), (1, 0, 1)}
+
+
 def test_repeated_rows_null_ids_empty_table(spark):
     long = "many words " * 1_000
     df = spark.createDataFrame([(1, long, "", "", ""), (1, long, "", "", ""), (None, "a", "", "", "")], SCHEMA)
