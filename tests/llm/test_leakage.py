@@ -68,6 +68,7 @@ def test_spelling_that_does_not_count(spark):
         item.replace("drovers", "dro-\nvers").replace("forgot", "for­got").replace("coins", "co​ins"),
         item.replace("seventy-two", "seventy two").replace("ä", "a"),
         item.replace("seventy-two", "seventy-\ntwo"),
+        item.replace("seventy-two", "seventytwo"),
     ]
     got = found(spark, [f"Before. {f} after" for f in forms], {4: item.split()})
     assert got == [(i, 4) for i in range(len(forms))]
@@ -75,7 +76,9 @@ def test_spelling_that_does_not_count(spark):
 
 def test_seeds_survive_the_allowed_edits(items):
     rule = Leak()
-    seeds = rare_seeds(items, rule)
+    common = {g: k % 7 for k, g in enumerate({tuple(ws[k : k + 4]) for ws in items.values() for k in range(len(ws) - 3)})}
+    seeds = rare_seeds(items, rule, common)
+    assert sum(map(len, seeds.values())) < sum(len(ws) - 3 for ws in items.values())
     for i, ws in items.items():
         kept = [i in seeds.get(tuple(ws[k : k + 4]), ()) for k in range(len(ws) - 3)]
         for a in range(len(ws) - rule.run + 1):
@@ -92,17 +95,32 @@ def test_alignment_against_plain_smith_waterman():
             for j in range(1, len(b) + 1):
                 same = leakage.MATCH if a[i - 1] == b[j - 1] else -1
                 table[i, j] = max(0, table[i - 1, j - 1] + same, table[i - 1, j] - 1, table[i, j - 1] - 1)
-        path, start, end = align(a, b)
-        assert sum(leakage.MATCH if s == (1, 1) else -1 for s in path) == table.max()
-        assert sum(s[0] > 0 for s in path) == end - start
+        path = align(a, b)
+        assert sum(leakage.MATCH if min(s) >= 0 and a[s[0]] == b[s[1]] else -1 for s in path) == table.max()
+        assert [i for i, _ in path if i >= 0] == list(range(path[0][0], path[0][0] + sum(i >= 0 for i, _ in path))) if path else True
+
+
+def run(doc, item, doc_words=None, item_words=None):
+    """Whether two texts of one letter a word, laid side by side (`-` for none), hold a run."""
+    d, t = ([c for c in x if c != "-"] for x in (doc, item))
+    i, j, path = 0, 0, []
+    for x, y in zip(doc, item, strict=True):
+        path.append((i if x != "-" else -1, j if y != "-" else -1))
+        i, j = i + (x != "-"), j + (y != "-")
+    return holds_run(path, d, t, Leak(), doc_words or range(len(d)), item_words or range(len(t)))
 
 
 def test_runs():
-    rule, hit, miss = Leak(), (1, 1), (2, 2)
-    assert holds_run([hit] * 15, rule) and not holds_run([hit] * 14, rule)
-    assert holds_run([hit] * 7 + [miss] + [hit] * 7, rule)
-    assert not holds_run([hit] * 6 + [miss, miss] + [hit] * 7, rule)
-    assert holds_run([miss] * 9 + [hit] * 15, rule)
+    assert run("abcdefghijklmno", "abcdefghijklmno")
+    assert not run("abcdefghijklmn", "abcdefghijklmn")
+    assert run("abcdefghijklmnx", "abcdefghijklmno")  # the run's last word is changed
+    assert not run("abcdefghijklmxx", "abcdefghijklmno")
+    assert run("abcdefgxijklmno", "abcdefghijklmno") and not run("abcdefgxxjklmno", "abcdefghijklmno")
+    assert run("abcdefgxxxxxxxxx-hijklmnopqrstuv", "abcdefg---------yhijklmnopqrstuv")
+    # one word of two parts is changed
+    words = [*range(8), 7, *range(8, 15)]
+    assert run("abcdefgxyjklmnop", "abcdefghijklmnop", words, words)
+    assert not run("abcdefgxyjklmno", "abcdefghijklmno")
 
 
 def test_long_text_two_places_and_empty_tables(spark, items):
@@ -129,3 +147,66 @@ def test_a_better_path_does_not_hide_a_run(items):
     index = Index([(0, " ".join(ws))], Leak())
     assert index.leaks(" ".join([*worse, "gap", *ws[20:35]])) == [0]
     assert words(None) == []
+    assert words("l'avocat, fifty-three") == ["l", "avocat", "fifty", "three"]
+
+
+@pytest.fixture(scope="module")
+def natural():
+    """Items with compounds and elisions, and filler of other words."""
+    rnd = random.Random(11)
+    joined = ["fifty-three", "seventy-two", "l'avocat", "d'une", "Qu'elle", "vice-président", "Straßen-Ämter", "mother-in-law"]
+    made = {i: [rnd.choice(joined) if rnd.random() < 0.15 else w for w in text(rnd, 60)] for i in range(40)}
+    return made, text(rnd, 500)
+
+
+SPELLINGS = {
+    "as it is": lambda rnd, t: t,
+    "hyphen apart": lambda rnd, t: t.replace("-", " "),
+    "elision apart": lambda rnd, t: t.replace("'", " "),
+    "joined": lambda rnd, t: t.replace("-", ""),
+    "upper case": lambda rnd, t: t.upper(),
+    "line hyphen": lambda rnd, t: " ".join(w[:2] + "-\n" + w[2:] if len(w) > 4 and rnd.random() < 0.3 and w.isalpha() else w for w in t.split(" ")),
+    "invisible": lambda rnd, t: "".join(c + ("\u200b" if rnd.random() < 0.1 and c.isalpha() else "") for c in t),
+}
+
+
+@pytest.mark.parametrize("spelling", SPELLINGS)
+@pytest.mark.parametrize("edits", [False, True])
+def test_recall_of_planted_runs(natural, spelling, edits):
+    """Runs of 15 to 17 words in every spelling, with as many edits as are allowed, at their ends too."""
+    made, filler = natural
+    rnd = random.Random(f"{spelling}{edits}")
+    index = Index([(i, " ".join(ws)) for i, ws in made.items()], Leak())
+    lost = 0
+    for k in range(300):
+        item, n = k % 40, rnd.choice([15, 16, 17])
+        at = rnd.randint(0, 60 - n)
+        ws = made[item][at : at + n]
+        if edits:
+            for x in rnd.sample(range(n), n // 8):
+                ws[x] = rnd.choice(["changed", "", ws[x] + " added"])
+        passage = SPELLINGS[spelling](rnd, " ".join(w for w in ws if w))
+        a = rnd.randint(0, 400)
+        lost += item not in index.leaks(f"{' '.join(filler[:a])} {passage} {' '.join(filler[a:])}")
+    assert lost <= 3
+
+
+def test_short_or_shuffled_phrases_of_natural_items(natural):
+    made, filler = natural
+    rnd = random.Random(2)
+    index = Index([(i, " ".join(ws)) for i, ws in made.items()], Leak())
+    for item, ws in made.items():
+        at = rnd.randint(0, 50)
+        assert index.leaks(" ".join([*filler[:100], *ws[at : at + 8], *filler[100:]])) == []
+        assert index.leaks(" ".join([*filler[:100], *rnd.sample(ws, 60), *filler[100:]])) == []
+
+
+def test_common_seeds_are_counted_in_the_corpus(spark, items):
+    docs = spark.createDataFrame([(i, " ".join(items[i][:20])) for i in range(30)] * 2, "doc_id bigint, text string")
+    index = Index([(i, " ".join(ws)) for i, ws in items.items()], Leak())
+    grams = sorted(index.grams)
+    got = {grams[r.seed]: r.n for r in leakage.seed_frequencies(docs, spark.sparkContext.broadcast(index), grams).collect()}
+    assert max(got.values()) == 60 and got[tuple(items[3][10:14])] == 2
+    before = len(index.seeds)
+    index.choose(got)
+    assert len(index.seeds) <= before and tuple(items[0][:4]) not in index.seeds
