@@ -40,6 +40,8 @@ MAX_STEPS = 3
 CONTEXT = 2
 #: Gains are counted by steps of this part of a nat, and no margin is higher than ``MOST``.
 STEPS, MOST = 100, 20.0
+#: A model has at most so many triples: about 20 bytes each on the way to the workers.
+MOST_TRIPLES = 3_000_000
 #: A worker holds distinct contexts up to so many characters before it passes them on.
 HELD_CHARACTERS = 4_000_000
 #: Longer runs (whole passages in another script) are judged anew each time instead of being remembered.
@@ -330,11 +332,22 @@ def _context(text: str, a: int, b: int) -> tuple[str, str, str]:
     return "\n" * (CONTEXT - len(left)) + left, text[a:b], right + "\n" * (CONTEXT - len(right))
 
 
+def least_count(rows: DataFrame, most: int = MOST_TRIPLES) -> int:
+    """The count that a triple needs for at most ``most`` of them to be kept, 2 at least."""
+    sizes = F.floor(F.log2("count")).cast("int")
+    levels = rows.where("n = 3 and count > 1").groupBy(sizes.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+    least = 1
+    while sum(r.n for r in levels if r.level >= least) > most:
+        least += 1
+    return 2**least
+
+
 def train(documents: DataFrame) -> Model:
     """The model of all clean records of ``documents``, with a margin validated on all their distinct contexts.
 
     What is brought to the driver are n-gram counts over an alphabet of fixed size, pairs and triples only as far as
-    clean text has them (triples seen once are left to the smoothing), and counts of gains by steps of fixed size.
+    clean text has them, and counts of gains by steps of fixed size. Triples seen once are left to the smoothing, and
+    more of the rarest where more than ``MOST_TRIPLES`` would be left, which is counted first.
     """
     spark = documents.sparkSession
     rows = checkpointed(
@@ -343,7 +356,7 @@ def train(documents: DataFrame) -> Model:
         .groupBy("n", "code", "context")
         .agg(F.sum("count").alias("count"))
     )
-    counts = rows.where("n in (1, 2) or n = 3 and count > 1").select("n", "code", "count").toArrow()
+    counts = rows.where(F.col("n").isin(1, 2) | ((F.col("n") == 3) & (F.col("count") >= least_count(rows)))).select("n", "code", "count").toArrow()
     n, code, count = (counts.column(c).to_numpy() for c in ("n", "code", "count"))
     tables = [dict(zip(code[n == k].tolist(), count[n == k].tolist(), strict=True)) for k in (1, 2, 3)]
     model = Model(*tables)

@@ -87,3 +87,10 @@ def test_every_clean_context_counts(spark, clean):
 def test_garbled_marks_are_not_clean(spark, clean):
     texts = [mj.garble("the ██ was", c) for c in mj.MISREAD_UTF8]
     assert not any(mj.is_clean(t, {}) for t in texts) and mj.is_clean("the ██ was", {})
+
+
+def test_a_model_holds_so_many_triples(spark):
+    rows = spark.createDataFrame([(3, i, "", 2 + i) for i in range(100)] + [(3, 100 + i, "", 1) for i in range(50)], "n int, code bigint, context string, count bigint")
+    assert mj.least_count(rows) == 2
+    least = mj.least_count(rows, 60)
+    assert least == 64 and rows.where(f"count >= {least}").count() <= 60
