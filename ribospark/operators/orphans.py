@@ -1,25 +1,29 @@
 """References to records that don't exist: composite keys with partial nulls, and keys with life spans.
 
-References are grouped by their null mask (which key columns are present). For each mask the targets are projected
-to that mask's columns, and one anti-join on (mask, columns) finds the orphans of all masks in one exchange.
+References are grouped by their null mask: which key columns are present. The references of each mask are anti-joined
+with the targets on that mask's columns alone, by plain equality; which targets they may match is a matter of semantics.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import product
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ribospark.session import broadcast_if_small
+from ribospark.session import is_small
 
 #: simple: a key with any null is satisfied. full: the same, but a partly null key is an orphan.
 #: partial: the non-null columns must match some target. exact: null matches only null.
 SEMANTICS = ("simple", "partial", "full", "exact")
 
 
-def _mask(columns: Sequence[str]) -> Column:
-    return F.concat(*(F.when(F.col(c).isNull(), "0").otherwise("1") for c in columns))
+def _has(columns: Sequence[str], mask: Sequence[bool]) -> Column:
+    """Whether exactly the columns of a mask aren't null."""
+    return reduce(and_, (F.col(c).isNotNull() if present else F.col(c).isNull() for c, present in zip(columns, mask, strict=True)))
 
 
 def orphan_references(
@@ -38,32 +42,28 @@ def orphan_references(
     """
     if semantics not in SEMANTICS:
         raise ValueError(f"semantics must be one of {SEMANTICS}")
-    key = list(key)
-    full, empty = "1" * len(key), "0" * len(key)
-    refs = references.withColumn("__mask", _mask(key)).where(F.col("__mask") != empty)
-    wanted = [F.col(c).alias(f"__t{i}") for i, c in enumerate(key)]
+    key, names = list(key), [f"__t{i}" for i in range(len(key))]
     spans = [F.col(c).alias(n) for c, n in zip(span or (), ("__added", "__retired"), strict=False)]
-    keys = targets.select(_mask(key).alias("__tmask"), *wanted, *spans).distinct()
-    if semantics == "partial":
-        masks = [format(i, f"0{len(key)}b") for i in range(1, 2 ** len(key))]
-        parts = F.array(*(F.lit(m) for m in masks))
-        kept = [F.when(F.substring("__tmask", i + 1, 1) == "1", F.col(f"__t{i}")).alias(f"__t{i}") for i in range(len(key))]
-        keys = keys.withColumn("__tmask", F.explode(parts)).select("__tmask", *kept, *(n for n in ("__added", "__retired") if spans))
-        # a target that lacks a column of the mask can't match it
-        for i in range(len(key)):
-            keys = keys.where((F.substring("__tmask", i + 1, 1) == "0") | F.col(f"__t{i}").isNotNull())
-        keys = keys.distinct()
-    elif semantics in ("simple", "full"):
-        keys = keys.where(F.col("__tmask") == full)
-        if semantics == "simple":
-            refs = refs.where(F.col("__mask") == full)
-    keys = broadcast_if_small(keys)
-    on = refs["__mask"] == keys["__tmask"]
-    for i, c in enumerate(key):
-        on = on & refs[c].eqNullSafe(keys[f"__t{i}"])
-    if span:
-        on = on & (keys["__added"] <= refs[at]) & (keys["__retired"].isNull() | (refs[at] < keys["__retired"]))
-    return refs.join(keys, on, "left_anti").drop("__mask")
+    ends = ["__added", "__retired"][: len(spans)]
+    keys = targets.select(*(F.col(c).alias(n) for c, n in zip(key, names, strict=True)), *spans).distinct()
+    small = is_small(keys)
+    found = []
+    for mask in product((True, False), repeat=len(key)):
+        of_mask = references.where(_has(key, mask))
+        if not any(mask) or (semantics == "simple" and not all(mask)):
+            continue  # no reference, or one that counts as satisfied
+        if semantics == "full" and not all(mask):
+            found.append(of_mask)
+            continue
+        own = [n for n, present in zip(names, mask, strict=True) if present]
+        fitting = keys.where(_has(names, mask)) if semantics == "exact" else keys.where(_has(own, [True] * len(own)))
+        # fewer columns than the whole key make repeats
+        fitting = fitting.select(*own, *ends) if len(own) == len(key) or semantics == "exact" else fitting.select(*own, *ends).distinct()
+        on = reduce(and_, (of_mask[c] == fitting[n] for c, n, present in zip(key, names, mask, strict=True) if present))
+        if span:
+            on = on & (fitting["__added"] <= of_mask[at]) & (fitting["__retired"].isNull() | (of_mask[at] < fitting["__retired"]))
+        found.append(of_mask.join(F.broadcast(fitting) if small else fitting, on, "left_anti"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def last_part(value: Column) -> Column:
@@ -75,7 +75,8 @@ def reference_rows(df: DataFrame, table_name: str, fields: dict[str, str], id_co
     """(table_name, record_id, field_name, kind, base, version, at): one row per reference of a record table.
 
     ``fields`` maps a field to the kind of record it names. The key is taken apart into its base and its version
-    (null if the id has none). Null, empty, `-` and `.` are no references.
+    (null if the id has none). Null, empty, `-` and `.` are no references. Kind and base are never null, which Catalyst
+    knows: it reads nothing for the masks without them.
     """
     entries = F.array(
         *(F.struct(F.lit(f).alias("field_name"), F.lit(k).alias("kind"), last_part(F.col(f)).alias("key")) for f, k in fields.items())
@@ -94,10 +95,8 @@ def target_rows(df: DataFrame, kind: str, id_column: str) -> DataFrame:
 
 def _versioned(key: Column) -> tuple[Column, Column]:
     dot = F.length(key) - F.length(F.substring_index(key, ".", -1))
-    return (
-        F.when(key.contains("."), F.substring(key, F.lit(1), dot - 1)).otherwise(key).alias("base"),
-        F.when(key.contains("."), F.substring_index(key, ".", -1)).alias("version"),
-    )
+    base = F.when(key.contains("."), F.substring(key, F.lit(1), dot - 1)).otherwise(key)
+    return F.coalesce(base, F.lit("")).alias("base"), F.when(key.contains("."), F.substring_index(key, ".", -1)).alias("version")
 
 
 def orphans(references: DataFrame, targets: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when it holds at most this many rows; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only when it holds at most this many rows and bytes; beyond them the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that losing an executor costs no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local-mode session without that setting
+    The folder is the session's ``spark.checkpoint.dir``. Only a local-mode session without that setting, as in tests,
     gets a folder of its own; a cluster without it is refused, since a machine-local folder would not survive.
     """
     sc = df.sparkSession.sparkContext
@@ -47,9 +47,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is (a shuffled join).
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most so many rows and, written out as JSON, bytes. No more than ``max_rows + 1`` rows are read."""
+    row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(row)), F.lit(0))).first()
+    return n <= max_rows and size <= max_bytes
 
-    The check reads no more than ``max_rows + 1`` rows of ``df``.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it ``is_small``, else as it is (a shuffled join)."""
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
