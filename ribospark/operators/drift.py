@@ -2,7 +2,8 @@
 
 The schema of every file (header names, and per column the highest type of its values in the lattice
 none < integer < decimal < text) is read in parallel by one partial aggregation. What is then folded, in the order
-of delivery within a stream, is one row per file: a streaming pass whose state is the last schema only.
+of delivery within a stream, is one row per file: a streaming pass whose state is the last schema only. The renames of
+all streams link names to one another, so that a column has one name in the union schema whatever a stream calls it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ribospark.operators.rejects import split_fields
@@ -22,12 +23,12 @@ LATTICE = ("none", "integer", "decimal", "text")
 NONE, TEXT = 0, 3
 SPARK_TYPES = {"none": "string", "integer": "bigint", "decimal": "double", "text": "string"}
 
-#: More distinct columns than this in the union schema are refused rather than collected.
-MAX_COLUMNS = 5_000
+#: More distinct columns than this in the union schema are refused rather than collected; so are more pairs of names.
+MAX_COLUMNS, MAX_PAIRS = 5_000, 1_000_000
 
 _FOLDED = (
     "file_id string, stream_id string, tool string, seq int, "
-    "columns array<struct<pos:int,name:string,canonical:string,rank:int>>, "
+    "columns array<struct<pos:int,name:string,base:string,line:int,rank:int>>, "
     "changes array<struct<field_name:string,change_kind:string,old_name:string,old_type:string,new_type:string>>"
 )
 
@@ -77,11 +78,15 @@ def file_schemas(lines: DataFrame) -> DataFrame:
 
 @dataclass
 class Schema:
-    """Keys (name, occurrence) in file order, with what has been learnt of each column."""
+    """Keys (name, occurrence) in file order, with what has been learnt of each column.
+
+    A column's line is its number within the stream, which it keeps through renames; its base is the name it began with.
+    """
 
     keys: list[tuple[str, int]] = field(default_factory=list)
     rank: dict[tuple[str, int], int] = field(default_factory=dict)
-    canonical: dict[tuple[str, int], str] = field(default_factory=dict)
+    line: dict[tuple[str, int], tuple[int, str]] = field(default_factory=dict)
+    lines: int = 0
 
 
 def _keys(names: list[str]) -> list[tuple[str, int]]:
@@ -104,16 +109,13 @@ def _gaps(keys: list, shared: set) -> list[list]:
     return out
 
 
-def _name_new(schema: Schema, inherited: set[tuple[str, int]]) -> None:
-    """Names the columns that ``schema`` inherits no name for: their own if no other column holds it, else numbered."""
-    held = {schema.canonical[k] for k in inherited}
-    for k in sorted((k for k in schema.keys if k not in inherited), key=lambda k: k[1]):
-        name, n = k[0], 1
-        while name in held:
-            n += 1
-            name = f"{k[0]}#{n}"
-        schema.canonical[k] = name
-        held.add(name)
+def _numbered(schema: Schema) -> Schema:
+    """Gives the columns that go on from none before them lines of their own."""
+    for k in schema.keys:
+        if k not in schema.line:
+            schema.lines += 1
+            schema.line[k] = (schema.lines, k[0])
+    return schema
 
 
 def fold(last: Schema | None, names: list[str], ranks: list[int]) -> tuple[Schema, list[tuple]]:
@@ -122,8 +124,8 @@ def fold(last: Schema | None, names: list[str], ranks: list[int]) -> tuple[Schem
     rank = dict(zip(keys, ranks, strict=False))
     new = Schema(keys, rank)
     if last is None:
-        _name_new(new, set())
-        return new, []
+        return _numbered(new), []
+    new.lines = last.lines
     shared = set(last.keys) & set(keys)
     came_from = {k: k for k in shared}
     gone: list = [k for k in last.keys if k not in shared]
@@ -142,7 +144,7 @@ def fold(last: Schema | None, names: list[str], ranks: list[int]) -> tuple[Schem
         if a is None:
             changes.append((k[0], "added", None, None, LATTICE[rank[k]]))
             continue
-        new.canonical[k] = last.canonical[a]
+        new.line[k] = last.line[a]
         before = last.rank[a]
         if rank[k] == NONE:
             new.rank[k] = before
@@ -150,8 +152,7 @@ def fold(last: Schema | None, names: list[str], ranks: list[int]) -> tuple[Schem
             changes.append((k[0], "renamed", a[0], LATTICE[before], LATTICE[new.rank[k]]))
         if NONE not in (before, rank[k]) and before != rank[k]:
             changes.append((k[0], "retyped", a[0], LATTICE[before], LATTICE[rank[k]]))
-    _name_new(new, set(came_from))
-    return new, changes
+    return _numbered(new), changes
 
 
 def _fold_streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,7 +165,8 @@ def _fold_streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seq += 1
             last, changes = fold(last, list(r.names), [int(x) for x in r.ranks])
             cols = [
-                {"pos": i, "name": k[0], "canonical": last.canonical[k], "rank": last.rank[k]} for i, k in enumerate(last.keys)
+                {"pos": i, "name": k[0], "base": last.line[k][1], "line": last.line[k][0], "rank": last.rank[k]}
+                for i, k in enumerate(last.keys)
             ]
             named = ("field_name", "change_kind", "old_name", "old_type", "new_type")
             out.append((r.file_id, r.stream_id, r.tool, seq, cols, [dict(zip(named, c, strict=True)) for c in changes]))
@@ -172,7 +174,7 @@ def _fold_streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def folded_schemas(lines: DataFrame) -> DataFrame:
-    """One row per file in its stream's order: its columns with canonical names and types, and its changes.
+    """One row per file in its stream's order: its columns with their lines and types, and its changes.
 
     ``lines`` needs file_id, stream_id, tool, delivered_at, line_no, line. Files delivered at the same time go by
     file_id. Repeated names in a header are told apart by occurrence. The first file of a stream has no changes.
@@ -191,54 +193,105 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     )
 
 
-def union_schema(folded: DataFrame) -> list[tuple[str, str]]:
-    """(canonical column, type) of all files, types promoted through the lattice, in the order of first position.
+def _bounded(df: DataFrame, most: int, what: str) -> list:
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} distinct {what}")
+    return rows
+
 
-    At most ``MAX_COLUMNS`` columns are collected; more are an error, never dropped.
+def one_name(folded: DataFrame) -> dict[str, str]:
+    """Name -> the name its column goes under, for the names that take part in renames.
+
+    Renames link names, the most frequent first, unless a file has a column of either name or of what is linked to it
+    already: such names can't be one column. A column goes under the name that most files give it.
+    """
+    renames = folded.select(F.explode("changes").alias("c")).where("c.change_kind = 'renamed'").groupBy("c.old_name", "c.field_name")
+    edges = _bounded(renames.agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "old_name", "field_name"), MAX_COLUMNS, "renames")
+    linked = sorted({x for e in edges for x in (e.old_name, e.field_name)})
+    if not linked:
+        return {}
+    own = F.array_sort(F.array_distinct(F.filter(F.transform("columns", lambda c: c["name"]), lambda n: n.isin(*linked))))
+    named = folded.select(own.alias("names"))
+    files = {r.name: r.n for r in _bounded(named.select(F.explode("names").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")), MAX_COLUMNS, "names")}
+    both = named.where(F.size("names") > 1).distinct().select(F.explode("names").alias("a"), "names").select("a", F.explode("names").alias("b"))
+    together: dict[str, set[str]] = {n: {n} for n in linked}
+    for r in _bounded(both.where("a < b").distinct(), MAX_PAIRS, "pairs of names"):
+        together[r.a].add(r.b)
+        together[r.b].add(r.a)
+    group = {n: frozenset([n]) for n in linked}
+    for e in edges:
+        x, y = group[e.old_name], group[e.field_name]
+        if x is not y and not any(together[n] & y for n in x):
+            for n in x | y:
+                group[n] = x | y
+    return {n: min(g, key=lambda m: (-files.get(m, 0), m)) for n, g in group.items()}
+
+
+def named_columns(folded: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(file_id, stream_id, pos, rank, name, number): the column of the union schema that each column of a file goes to.
+
+    Columns of one name that stand side by side in some file of a stream are numbered there in the order they came.
     """
-    cols = (
-        folded.select(F.explode("columns").alias("c"))
-        .groupBy("c.canonical")
-        .agg(F.max("c.rank").alias("rank"), F.min("c.pos").alias("pos"))
-        .orderBy("pos", "canonical")
-        .limit(MAX_COLUMNS + 1)
-        .collect()
+    name = F.col("c.base")
+    if names:
+        known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+        name = F.coalesce(F.try_element_at(known, name), name)
+    rows = folded.select("file_id", "stream_id", "seq", F.explode("columns").alias("c")).select(
+        "file_id", "stream_id", "seq", "c.pos", "c.rank", "c.line", name.alias("name")
     )
-    if len(cols) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} distinct columns")
-    return [(c.canonical, LATTICE[c.rank]) for c in cols]
+    beside = rows.groupBy("stream_id", "file_id", "name").agg(F.count(F.lit(1)).alias("n")).groupBy("stream_id", "name").agg(F.max("n").alias("n"))
+    lines = rows.groupBy("stream_id", "name", "line").agg(F.min(F.struct("seq", "pos")).alias("came"))
+    order = Window.partitionBy("stream_id", "name").orderBy("came")
+    numbered = lines.withColumn("k", F.row_number().over(order)).join(beside, ["stream_id", "name"])
+    numbered = numbered.select("stream_id", "name", "line", F.when(F.col("n") > 1, F.col("k")).otherwise(1).alias("number"))
+    return rows.join(numbered, ["stream_id", "name", "line"]).select("file_id", "stream_id", "pos", "rank", "name", "number")
+
+
+def union_schema(columns: DataFrame) -> list[tuple[str, int, str, str]]:
+    """(name, number, column, type) of ``named_columns``, types promoted through the lattice, in the order of position.
+
+    The column is the name, with a number from the second one of that name on, or where another differs by case only.
+    At most ``MAX_COLUMNS`` are collected; more are an error, never dropped.
+    """
+    found = columns.groupBy("name", "number").agg(F.max("rank").alias("rank"), F.min("pos").alias("pos"))
+    rows = _bounded(found.orderBy("pos", "name", "number"), MAX_COLUMNS, "columns")
+    held, out = {*RESERVED}, {}
+    for r in sorted(rows, key=lambda r: r.number):
+        first = f"{r.name}_" if r.name.lower() in RESERVED else r.name
+        name, number = (first, 1) if r.number == 1 else (f"{first}#{r.number}", r.number)
+        while name.lower() in held:  # Spark's writers don't tell names by case
+            number += 1
+            name = f"{first}#{number}"
+        held.add(name.lower())
+        out[r.name, r.number] = name
+    return [(r.name, r.number, out[r.name, r.number], LATTICE[r.rank]) for r in rows]
+
+
+RESERVED = ("file_id", "stream_id", "tool", "line_no")
 
 
 def unified_table(lines: DataFrame) -> DataFrame:
-    """All data lines under the union schema: file_id, stream_id, tool, line_no and every canonical column, cast.
+    """All data lines under the union schema: file_id, stream_id, tool, line_no and a column for each of ``union_schema``, cast.
 
-    A renamed column goes under the name it first had in its stream; NA, blank and columns the file lacks are null.
-    A column whose name another column of its file goes under is numbered, as in `depth#2`, so that each has its own;
-    so is one whose name differs from another's by case only.
+    A column that streams or files name differently goes under one name (``one_name``); NA, blank and columns the file
+    lacks are null. Columns of one name in one file, and those whose names differ by case only, each have their own.
     """
     folded = checkpointed(folded_schemas(lines))
-    columns = union_schema(folded)
-    names = F.transform("columns", lambda c: c["canonical"])
+    columns = checkpointed(named_columns(folded, one_name(folded)))
+    schema = union_schema(columns)
+    place = F.map_from_entries(F.collect_list(F.struct(F.struct("name", "number"), "pos")))
+    places = columns.groupBy("file_id", "stream_id").agg(place.alias("place"))
+    files = folded.select("file_id", "stream_id", "tool").join(places, ["file_id", "stream_id"])
     data = lines.select("file_id", "line_no", _bare(F.col("line")).alias("line")).where(
         (F.col("line_no") > 1) & F.col("line").isNotNull() & (F.trim("line") != "")
     )
-    joined = data.join(folded.select("file_id", "stream_id", "tool", "columns"), "file_id").withColumn(
-        "fields", split_fields(F.col("line"))
-    )
+    joined = data.join(files, "file_id").withColumn("fields", split_fields(F.col("line")))
 
-    def cell(name: str, kind: str) -> Column:
-        v = F.get("fields", F.array_position(names, F.lit(name)).cast("int") - 1)
-        v = F.when(~F.trim(v).isin("", "NA"), F.trim(v))
+    def cell(name: str, number: int, kind: str) -> Column:
+        key = F.struct(F.lit(name).alias("name"), F.lit(number).alias("number"))
+        v = F.trim(F.get("fields", F.try_element_at("place", key)))
+        v = F.when(~v.isin("", "NA"), v)
         return v if kind in ("text", "none") else v.try_cast(SPARK_TYPES[kind])
 
-    reserved = ("file_id", "stream_id", "tool", "line_no")
-    out, held = [], {*reserved}
-    for n, k in columns:
-        name = first = f"{n}_" if n.lower() in reserved else n
-        number = 1
-        while name.lower() in held:  # Spark's writers don't tell names by case
-            number += 1
-            name = f"{first}#{number}"
-        held.add(name.lower())
-        out.append(cell(n, k).alias(name))
-    return joined.select(*reserved, *out)
+    return joined.select(*RESERVED, *(cell(name, number, kind).alias(column) for name, number, column, kind in schema))

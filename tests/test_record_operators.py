@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from ribospark.operators import drift, heavy_keys, orphans
 
@@ -105,6 +106,24 @@ def test_unified_table_keeps_columns_of_one_name(spark):
     assert sorted((r["b"], r["B#2"]) for r in case.collect()) == [(1, "x"), (2, "y")]
 
 
+def test_one_name_across_streams(spark):
+    """A rename in one stream names the column of the others; names that some file has side by side stay apart."""
+    a = lines(spark, ("#x\test_J", "1\t2"), ("#x\tEST_J", "1\t3"), ("#x\tjunctions", "1\t4"))
+    b = lines(spark, ("#x\tEST_J", "5\t6")).withColumn("stream_id", F.lit("u")).withColumn("file_id", F.lit("g"))
+    c = lines(spark, ("#junctions\tx", "7\t8"), ("#other\tx", "9\t8"), ("#other\tx\tjunctions", "9\t8\t3"))
+    c = c.withColumn("stream_id", F.lit("w")).withColumn("file_id", F.concat(F.lit("h"), "file_id"))
+    out = drift.unified_table(a.unionByName(b).unionByName(c))
+    rows = {r.file_id: r.asDict() for r in out.collect()}
+    assert {f: r["junctions"] for f, r in rows.items()} == {"f0": 2, "f1": 3, "f2": 4, "g": 6, "hf0": 7, "hf1": 9, "hf2": 9}
+    assert rows["hf2"]["junctions#2"] == 3 and sorted(out.columns) == sorted(["file_id", "stream_id", "tool", "line_no", "junctions", "x", "junctions#2"])
+    out.write.format("noop").mode("overwrite").save()
+
+
+def test_repeated_names_in_a_header(spark):
+    out = drift.unified_table(lines(spark, ("#a\tb\ta", "1\tx\t7"), ("#a\tb\ta", "2\ty\t8")))
+    assert sorted((r["a"], r["b"], r["a#2"]) for r in out.collect()) == [(1, "x", 7), (2, "y", 8)]
+
+
 def test_drift_against_a_plain_fold(spark):
     path = "/root/testdata/sf0.01/drift_lines.parquet"
     streams = defaultdict(lambda: defaultdict(list))
