@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ribospark.functions import intervals, labels
-from ribospark.functions.sequence import reverse_complement, slice_of
+from ribospark.functions.sequence import reverse_complement, slice_of, stranded
 from ribospark.operators import reference as ref
 from ribospark.operators.reference import Reference
 from ribospark.session import broadcast_if_small
@@ -19,13 +19,18 @@ from ribospark.session import broadcast_if_small
 _INDEX = "array<int>"
 
 
-def _genes(reference: Reference, sequences: bool = True) -> DataFrame:
-    g = reference.genes.select(
+def _genes(reference: Reference) -> DataFrame:
+    return reference.genes.select(
         F.col("gene_id").alias("g_id"), F.col("gene_name").alias("g_name"), F.col("chrom").alias("g_chrom"), F.col("start").alias("g_start"), F.col("end").alias("g_end"), F.col("strand").alias("g_strand")
     )
-    if not sequences:
-        return g
-    return g.join(reference.gene_sequences().select(F.col("gene_id").alias("s_id"), "gene_seq"), F.col("g_id") == F.col("s_id")).drop("s_id")
+
+
+def _bases(rows: DataFrame, reference: Reference, a: Column, b: Column, out: str, short: bool | None = True) -> DataFrame:
+    """``rows`` with the bases [a, b) of their gene as it reads on its strand, cut out of the pieces of the genome."""
+    span = intervals.range_gene_to_genomic(a, b, F.col("g_start"), F.col("g_end"), F.col("g_strand"))
+    placed = rows.withColumns({"__lo": span["start"], "__hi": span["end"]})
+    cut = ref.sliced(placed, reference.genome, "g_chrom", "__lo", "__hi", out, short)
+    return cut.withColumn(out, stranded(F.col(out), F.col("g_strand"))).drop("__lo", "__hi")
 
 
 def _to_gene(p: Column) -> Column:
@@ -53,8 +58,16 @@ def vep(records: DataFrame, reference: Reference, keep_quirks: bool = True) -> D
     """VEP records as variants, with ``status`` ok, start site, stop site, unknown gene, unknown transcript or allele.
 
     Deletions get the base before them (or after, at the start of the transcript). With ``keep_quirks`` a deletion down to
-    one base is named MNV, as existing variant files have it.
+    one base is named MNV, as existing variant files have it. A record meets the piece of the genome it lies in; those
+    too long for one piece are converted apart.
     """
+    span = F.split(F.get(F.split("location", ":"), F.lit(1)), "-")
+    size = F.get(span, F.lit(1)).try_cast("int") - F.get(span, F.lit(0)).try_cast("int")
+    is_long = F.coalesce(size > ref.REACH - 4, F.lit(False))
+    return _vep(records.where(~is_long), reference, keep_quirks, True).unionByName(_vep(records.where(is_long), reference, keep_quirks, False))
+
+
+def _vep(records: DataFrame, reference: Reference, keep_quirks: bool, short: bool) -> DataFrame:
     place = F.split("location", ":")
     span = F.split(F.get(place, F.lit(1)), "-")
     lo = F.get(span, F.lit(0)).try_cast("int")
@@ -66,16 +79,23 @@ def vep(records: DataFrame, reference: Reference, keep_quirks: bool = True) -> D
     placed = joined.withColumns({"a": start, "b": end, "ta": tx_start, "tb": tx_end})
     allele = F.when(F.col("g_strand") == -1, reverse_complement(F.col("allele"))).otherwise(F.col("allele"))
     placed = placed.withColumn("al", allele)
-    a, b, al, seq = F.col("a"), F.col("b"), F.col("al"), F.col("gene_seq")
+    # the record's bases with one more on either side, as far as the gene goes
+    first, last = F.greatest(F.col("a") - 1, F.lit(0)), F.least(F.col("b") + 1, F.col("g_end") - F.col("g_start"))
+    placed = _bases(placed, reference, first, last, "around", short)
+    a, b, al = F.col("a"), F.col("b"), F.col("al")
+
+    def gene_bases(x: Column, y: Column) -> Column:
+        return slice_of(F.col("around"), x - first, y - first)
+
     n = F.length(al)
-    here = slice_of(seq, a, a + 1)
-    before = slice_of(seq, a - 1, a)
+    here = gene_bases(a, a + 1)
+    before = gene_bases(a - 1, a)
 
     def made(s: Column, e: Column, r: Column, x: Column) -> Column:
         return F.struct(s.alias("start"), e.alias("end"), r.alias("ref"), x.alias("alt"))
 
     at_start = a == F.col("ta")
-    deletion = F.when(at_start, made(a, b + 1, slice_of(seq, a, b + 1), slice_of(seq, b, b + 1))).otherwise(made(a - 1, b, slice_of(seq, a - 1, b), before))
+    deletion = F.when(at_start, made(a, b + 1, gene_bases(a, b + 1), gene_bases(b, b + 1))).otherwise(made(a - 1, b, gene_bases(a - 1, b), before))
     insertion = (
         F.when(here == F.substring(al, -1, 1), made(a - 1, a, before, F.concat(before, F.substring(al, F.lit(1), n - 1))))
         .when(here == F.substring(al, 1, 1), made(a, b, here, al))
@@ -85,7 +105,7 @@ def vep(records: DataFrame, reference: Reference, keep_quirks: bool = True) -> D
         .when((b - a == 1) & (n > 1), insertion)
         .when(b - a == 1, made(a, b, here, al))
         .when(b - a == 2, made(a, b - 1, here, F.concat(here, al)))
-        .otherwise(made(a, b, slice_of(seq, a, b), al))
+        .otherwise(made(a, b, gene_bases(a, b), al))
     )
     out = placed.withColumn("v", result)
     status = (
@@ -93,7 +113,7 @@ def vep(records: DataFrame, reference: Reference, keep_quirks: bool = True) -> D
         .when(F.col("t_id").isNull(), "unknown transcript")
         .when((a < F.col("ta")) | ((a == F.col("ta")) & ~F.col("t_nf")), "start site")
         .when(b > F.col("tb"), "stop site")
-        .when(F.col("v").isNull() | (F.length("v.ref") == 0), "allele")
+        .when(F.coalesce(F.length("v.ref"), F.lit(0)) == 0, "allele")
         .otherwise("ok")
     )
     r1, a1 = F.length("v.ref") == 1, F.length("v.alt") == 1
@@ -126,7 +146,7 @@ def reditools(records: DataFrame, reference: Reference, **gates) -> DataFrame:
     tx = F.filter("transcripts", lambda t: t["feature"] == "transcript")
     rows = records.select("region", "position", F.explode(F.transform(tx, lambda t: t["tx_id"])).alias("tx_id"), valid_substitutions(**gates).alias("subs"))
     t = reference.transcripts.select("tx_id", "gene_id", "exons", "strand")
-    joined = rows.join(broadcast_if_small(t), "tx_id").join(_genes(reference, False), F.col("gene_id") == F.col("g_id"))
+    joined = rows.join(broadcast_if_small(t), "tx_id").join(_genes(reference), F.col("gene_id") == F.col("g_id"))
     exonic = ref.genomic_to_transcript(F.col("position") - 1, F.col("exons"), F.col("strand")).isNotNull()
     at = _to_gene(F.col("position") - 1)
     placed = joined.where(exonic).select("*", at.alias("start"), F.explode("subs").alias("s"))
@@ -162,7 +182,7 @@ def fusions(records: DataFrame, reference: Reference, ref_shift: int = 0) -> Dat
 
     def side(rows: DataFrame, which: str) -> DataFrame:
         at = F.col(f"{which}_at") - 1
-        g = _genes(reference, False)
+        g = _genes(reference)
         own = rows.join(broadcast_if_small(g), F.col(f"{which}_gene") == F.col("g_id")).join(per_gene, F.col("g_id") == F.col("tx_gene"), "left")
         holding = F.transform(F.filter("txs", lambda t: intervals.holds(t["tx_s"], t["tx_e"], at)), lambda t: t["tx"])
         return own.withColumns(
@@ -170,11 +190,10 @@ def fusions(records: DataFrame, reference: Reference, ref_shift: int = 0) -> Dat
         ).drop("g_id", "g_name", "g_chrom", "g_start", "g_end", "g_strand", "tx_gene", "txs")
 
     both = side(side(base, "left"), "right").where("left_pos is not null and right_pos is not null")
-    contigs = reference.genome.select(F.col("seqname").alias("contig"), F.col("seq").alias("contig_seq"))
-    both = both.join(contigs, F.col("left_chrom") == F.col("contig"), "left")
     plus = F.col("left_strand") != -1
-    at = F.col("left_at") + F.when(plus, ref_shift).otherwise(0)
-    base_there = slice_of(F.col("contig_seq"), at, at + 1)
+    both = both.withColumn("__at", F.col("left_at") + F.when(plus, ref_shift).otherwise(0)).withColumn("__next", F.col("__at") + 1)
+    both = ref.sliced(both, reference.genome, "left_chrom", "__at", "__next", "there", True)
+    base_there = F.col("there")
     pairs = both.withColumn("r", F.when(plus, base_there).otherwise(reverse_complement(base_there))).select(
         "*", F.explode("left_txs").alias("donor"), (F.col("left_pos") + 1).alias("start")
     ).select("*", F.explode("right_txs").alias("acc"))
@@ -230,7 +249,7 @@ def circexplorer(records: DataFrame, reference: Reference, min_read_number: int
     t = reference.transcripts.select("tx_id", "gene_id", "exons", F.col("strand").alias("t_strand"))
     joined = kept.withColumnsRenamed({"start": "c_start", "end": "c_end", "strand": "c_strand", "gene_name": "c_gene"}).join(
         broadcast_if_small(t), F.col("isoform_name") == F.col("tx_id"), "left"
-    ).join(_genes(reference, False), F.col("gene_id") == F.col("g_id"), "left").drop("g_id")
+    ).join(_genes(reference), F.col("gene_id") == F.col("g_id"), "left").drop("g_id")
     pieces = F.transform(
         F.arrays_zip("exon_offsets", "exon_sizes"),
         lambda x: F.struct((F.col("c_start") + x["exon_offsets"]).alias("s"), (F.col("c_start") + x["exon_offsets"] + x["exon_sizes"]).alias("e")),
@@ -286,7 +305,7 @@ def passes(counts1: str, counts2: str, least: int) -> Column:
 
 
 def _gene_models(reference: Reference) -> DataFrame:
-    """Genes with sequence, transcripts and all known junctions."""
+    """Genes with transcripts and all known junctions."""
     t = reference.transcripts.select("gene_id", F.struct("tx_id", "exons", "start", "end").alias("t"), ref.junctions(F.col("exons")).alias("j"))
     models = t.groupBy(F.col("gene_id").alias("m_id")).agg(F.collect_list("t").alias("txs"), F.array_distinct(F.flatten(F.collect_list("j"))).alias("known"))
     return _genes(reference).join(models, F.col("g_id") == F.col("m_id")).drop("m_id")
@@ -429,24 +448,25 @@ def rmats(records: DataFrame, reference: Reference, event: str, min_ijc: int = 1
     rows = records.drop("chrom").join(models, F.col("gene_id") == F.col("g_id"))
     inc, skip = passes("ijc_sample_1", "ijc_sample_2", min_ijc), passes("sjc_sample_1", "sjc_sample_2", min_sjc)
     if event == "RI":
-        return _retained(rows.withColumns({"inc": inc, "skip": skip}))
+        return _retained(rows.withColumns({"inc": inc, "skip": skip}), reference)
     with_j = rows.withColumns({"js": _event_junctions(event, inc, skip), "id": _event_id(event)})
     novel = F.exists("js", lambda j: ~F.exists("known", lambda k: (k["start"] == j["ue"]) & (k["end"] == j["ds"])))
-    pairs = with_j.where(novel).select("gene_id", "id", "g_name", "g_chrom", "g_start", "g_end", "g_strand", "gene_seq", "txs", F.explode("js").alias("j")).where("j.gate")
+    pairs = with_j.where(novel).select("gene_id", "id", "g_name", "g_chrom", "g_start", "g_end", "g_strand", "txs", F.explode("js").alias("j")).where("j.gate")
     aligned = _aligned(pairs.withColumn("t", F.explode("txs")).drop("txs"))
-    made = aligned.select("gene_id", "id", "g_name", "g_chrom", "g_start", "g_end", "g_strand", "gene_seq", "t.tx_id", F.explode(_decisions()).alias("v"))
+    made = aligned.select("gene_id", "id", "g_name", "g_chrom", "g_start", "g_end", "g_strand", "t.tx_id", F.explode(_decisions()).alias("v"))
     start, end = _ordered(F.col("v.s"), F.col("v.e") - 1)
     insertion = F.col("v.kind") == "Insertion"
     ds, de = _ordered(F.col("v.ds"), F.col("v.de") - 1)
     placed = made.select(
         "*", F.when(insertion, _to_gene(F.col("v.s"))).otherwise(start).alias("start"), F.when(insertion, _to_gene(F.col("v.s")) + 1).otherwise(end).alias("end"), ds.alias("ds"), de.alias("de")
     )
+    placed = _bases(placed, reference, F.col("start"), F.col("start") + 1, "base")
     own = F.when(~insertion, F.col("start"))
     genomic = F.when(
         insertion, F.concat_ws(":", "g_chrom", (F.col("v.s") + 1).cast("string"), (F.col("v.s") + 2).cast("string"))
     ).otherwise(F.concat_ws(":", "g_chrom", (F.col("v.s") + 1).cast("string"), F.col("v.e").cast("string")))
     out = placed.select(
-        "gene_id", "start", "end", slice_of(F.col("gene_seq"), F.col("start"), F.col("start") + 1).alias("ref"),
+        "gene_id", "start", "end", F.col("base").alias("ref"),
         F.concat(F.lit("<"), F.upper(F.substring("v.kind", 1, 3)), F.lit(">")).alias("alt"), F.col("v.kind").alias("type"), "id", "tx_id",
         _attrs(
             TRANSCRIPT_ID=F.col("tx_id"), START=own, END=F.when(~insertion, F.col("end")), DONOR_START=F.col("ds"), DONOR_END=F.col("de"),
@@ -456,7 +476,7 @@ def rmats(records: DataFrame, reference: Reference, event: str, min_ijc: int = 1
     return out.dropDuplicates(["gene_id", "start", "end", "ref", "alt", "id", "tx_id"])
 
 
-def _retained(rows: DataFrame) -> DataFrame:
+def _retained(rows: DataFrame, reference: Reference) -> DataFrame:
     """A retained intron is an insertion where no transcript retains it, and its loss a deletion where none splices it."""
     ue, ds = F.col("upstream_exon_end"), F.col("downstream_exon_start")
     spliced = F.filter("txs", lambda t: ref.has_junction(t["exons"], ue, ds))
@@ -471,8 +491,9 @@ def _retained(rows: DataFrame) -> DataFrame:
     at = F.when(insertion, F.col("a") - 1).otherwise(F.col("a"))
     stop = F.when(insertion, F.col("a")).otherwise(F.col("b"))
     position = F.concat(F.col("g_chrom"), F.lit(":"), ue.cast("string"), F.lit("-"), ds.cast("string"))
+    each = _bases(each, reference, at, at + 1, "base")
     return each.select(
-        "gene_id", at.alias("start"), stop.alias("end"), slice_of(F.col("gene_seq"), at, at + 1).alias("ref"), F.concat(F.lit("<"), F.upper(F.substring("v.kind", 1, 3)), F.lit(">")).alias("alt"),
+        "gene_id", at.alias("start"), stop.alias("end"), F.col("base").alias("ref"), F.concat(F.lit("<"), F.upper(F.substring("v.kind", 1, 3)), F.lit(">")).alias("alt"),
         F.col("v.kind").alias("type"), F.concat(F.lit("RI_"), F.col("a").cast("string"), F.lit("-"), F.col("b").cast("string")).alias("id"), "v.tx_id",
         _attrs(
             TRANSCRIPT_ID=F.col("v.tx_id"), START=F.when(~insertion, F.col("a")), END=F.when(~insertion, F.col("b")), DONOR_START=F.when(insertion, F.col("a")), DONOR_END=F.when(insertion, F.col("b")),

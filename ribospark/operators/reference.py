@@ -109,6 +109,50 @@ def cds_end(exons: Column, cds: Column, utr: Column, strand: Column, start: Colu
     return at - (at - start) % 3
 
 
+# --- stretches of the genome -----------------------------------------------------------------------------------------
+
+#: Bases of a piece of a contig, and how far each goes on into the next one.
+PIECE, REACH = 65_536, 4_096
+
+
+def pieces(genome: DataFrame, size: int = PIECE, reach: int = REACH) -> DataFrame:
+    """(seqname, k, seq): contigs (seqname, seq) cut into pieces of ``size`` and the ``reach`` bases after them.
+
+    Contigs that are in pieces already stay as they are. Bytes are cut, not characters, which takes no search.
+    """
+    if "k" in genome.columns:
+        return genome
+    last = F.greatest(F.ceil(F.octet_length("seq") / size) - 1, F.lit(0)).cast("int")
+    each = genome.select("seqname", F.explode(F.sequence(F.lit(0), last)).alias("k"), F.col("seq").cast("binary").alias("seq"))
+    return each.select("seqname", "k", F.substring("seq", F.col("k") * size + 1, F.lit(size + reach)).cast("string").alias("seq"))
+
+
+def sliced(rows: DataFrame, genome: DataFrame, chrom: str, start: str, end: str, out: str, short: bool | None = None, size: int = PIECE, reach: int = REACH) -> DataFrame:
+    """``rows`` with the bases [start, end) of a contig, all three columns, as column ``out``; null if any of them is.
+
+    No row ever carries more than a piece. A stretch of at most ``reach`` bases lies in one piece; a longer one is put
+    together from those it crosses, once for all rows that ask for it. ``short`` says that all rows are of the one kind.
+    """
+    if short is None:
+        is_long = F.coalesce(F.col(end) - F.col(start) > reach, F.lit(False))
+        return sliced(rows.where(~is_long), genome, chrom, start, end, out, True, size, reach).unionByName(
+            sliced(rows.where(is_long), genome, chrom, start, end, out, False, size, reach)
+        )
+    p = pieces(genome, size, reach).select(F.col("seqname").alias("__name"), F.col("k").alias("__k"), F.col("seq").alias("__piece"))
+    first = F.floor(F.greatest(F.col(start), F.lit(0)) / size).cast("int")
+    if short:
+        joined = rows.withColumn("__first", first).join(p, (F.col(chrom) == F.col("__name")) & (F.col("__first") == F.col("__k")), "left")
+        base = F.col("__k") * size
+        return joined.withColumn(out, slice_of(F.col("__piece"), F.col(start) - base, F.col(end) - base)).drop("__first", "__name", "__k", "__piece")
+    asked = rows.select(F.col(chrom).alias("__c"), F.col(start).alias("__s"), F.col(end).alias("__e")).distinct()
+    crossed = asked.withColumn("__at", F.explode(F.sequence(F.floor(F.greatest("__s", F.lit(0)) / size).cast("int"), F.floor((F.col("__e") - 1) / size).cast("int"))))
+    base = F.col("__k") * size
+    part = slice_of(F.col("__piece"), F.greatest(F.col("__s") - base, F.lit(0)), F.least(F.col("__e") - base, F.lit(size)))
+    parts = crossed.join(p, (F.col("__c") == F.col("__name")) & (F.col("__at") == F.col("__k"))).select("__c", "__s", "__e", F.struct("__k", part.alias("part")).alias("p"))
+    whole = parts.groupBy("__c", "__s", "__e").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["part"]), "").alias(out))
+    return rows.join(whole, (F.col(chrom) == F.col("__c")) & (F.col(start) == F.col("__s")) & (F.col(end) == F.col("__e")), "left").drop("__c", "__s", "__e")
+
+
 # --- tables ----------------------------------------------------------------------------------------------------------
 
 
@@ -186,7 +230,10 @@ def ranked(df: DataFrame, key: str) -> DataFrame:
 
 @dataclass
 class Reference:
-    """Lazily built tables. ``proteome`` decides which transcripts code, unless the annotation says so itself."""
+    """Lazily built tables. ``proteome`` decides which transcripts code, unless the annotation says so itself.
+
+    ``genome`` has contigs (seqname, seq), or their ``pieces``.
+    """
 
     genes: DataFrame
     transcripts: DataFrame
@@ -208,10 +255,10 @@ class Reference:
         return cls(*tables, spark.read.parquet(f"{path}/proteome"))
 
     def save(self, path: str, mode: str = "errorifexists") -> None:
-        """The tables as Parquet, sorted by id so that row groups can be skipped."""
+        """The tables as Parquet, sorted by id so that row groups can be skipped; the genome in pieces."""
         self.genes.sort("gene_id").write.mode(mode).parquet(f"{path}/genes")
         self.transcripts.sort("tx_id").write.mode(mode).parquet(f"{path}/transcripts")
-        self.genome.write.mode(mode).parquet(f"{path}/genome")
+        pieces(self.genome).write.mode(mode).parquet(f"{path}/genome")
         if self.proteome is not None:
             self.proteome.write.mode(mode).parquet(f"{path}/proteome")
 
@@ -231,15 +278,31 @@ class Reference:
     def gene_sequences(self, codes: DataFrame | None = None) -> DataFrame:
         """(gene_id, gene_seq), along the strand."""
         genes = self.genes if codes is None else self.genes.join(codes, "gene_id", "left_semi")
-        joined = genes.join(self.genome, genes.chrom == self.genome.seqname)
-        return joined.select("gene_id", stranded(slice_of(F.col("seq"), F.col("start"), F.col("end")), F.col("strand")).alias("gene_seq"))
+        rows = sliced(genes.select("gene_id", "chrom", "start", "end", "strand"), self.genome, "chrom", "start", "end", "bases")
+        return rows.where("bases is not null").select("gene_id", stranded(F.col("bases"), F.col("strand")).alias("gene_seq"))
+
+    def stretches(self, wanted: DataFrame) -> DataFrame:
+        """(s_gene, s_start, s_end, stretch): the bases of ``wanted`` (gene_id, start, end), intervals on genes, each once."""
+        genes = self.genes.select("gene_id", "chrom", F.col("start").alias("g_start"), F.col("end").alias("g_end"), "strand")
+        rows = wanted.select("gene_id", "start", "end").distinct().join(genes, "gene_id")
+        span = intervals.range_gene_to_genomic(F.col("start"), F.col("end"), F.col("g_start"), F.col("g_end"), F.col("strand"))
+        placed = rows.select("gene_id", "chrom", "strand", "start", "end", span["start"].alias("lo"), span["end"].alias("hi"))
+        found = sliced(placed, self.genome, "chrom", "lo", "hi", "bases")
+        return found.select(
+            F.col("gene_id").alias("s_gene"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), stranded(F.col("bases"), F.col("strand")).alias("stretch")
+        )
+
+    def _spliced(self, txs: DataFrame, parts: str) -> DataFrame:
+        """(tx_id, spliced): the intervals of an array column of transcripts, cut out and joined along the strand."""
+        rows = txs.select("tx_id", "chrom", "strand", F.posexplode(parts).alias("i", "e")).select("tx_id", "chrom", "strand", "i", "e.start", "e.end")
+        cut = sliced(rows, self.genome, "chrom", "start", "end", "bases").where("bases is not null")
+        joined = cut.groupBy("tx_id", "strand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "bases"))), lambda x: x["bases"]), "").alias("bases"))
+        return joined.select("tx_id", stranded(F.col("bases"), F.col("strand")).alias("spliced"))
 
     def transcript_sequences(self, wanted: DataFrame | None = None) -> DataFrame:
         """(tx_id, …, tx_seq, orf_start, orf_end, sec_sites): spliced sequences with the annotated ORF and Sec sites."""
         txs = self.transcripts if wanted is None else self.transcripts.join(wanted, "tx_id", "left_semi")
-        joined = txs.join(self.genome, txs.chrom == self.genome.seqname)
-        pieces = F.transform("exons", lambda e: slice_of(F.col("seq"), e["start"], e["end"]))
-        spliced = stranded(F.array_join(pieces, ""), F.col("strand"))
+        joined = txs.join(self._spliced(txs, "exons"), "tx_id")
         start = cds_start(F.col("exons"), F.col("cds"), F.col("strand"))
         strand = F.col("strand")
         sites = F.array_sort(
@@ -247,14 +310,12 @@ class Reference:
                 "sec", lambda s: F.when(strand == -1, genomic_to_transcript(s["end"] - 1, F.col("exons"), strand)).otherwise(genomic_to_transcript(s["start"], F.col("exons"), strand))
             )
         )
-        out = joined.select(*(c for c in txs.columns), spliced.alias("tx_seq"), start.alias("orf_start"), sites.alias("sec_sites"))
+        out = joined.select(*(c for c in txs.columns), F.col("spliced").alias("tx_seq"), start.alias("orf_start"), sites.alias("sec_sites"))
         return out.withColumn("orf_end", cds_end(F.col("exons"), F.col("cds"), F.col("utr"), F.col("strand"), F.col("orf_start")))
 
     def cds_sequences(self) -> DataFrame:
         """(tx_id, cds_seq): the coding bases alone, along the strand."""
-        joined = self.transcripts.where(F.size("cds") > 0).join(self.genome, F.col("chrom") == F.col("seqname"))
-        pieces = F.transform("cds", lambda e: slice_of(F.col("seq"), e["start"], e["end"]))
-        return joined.select("tx_id", stranded(F.array_join(pieces, ""), F.col("strand")).alias("cds_seq"))
+        return self._spliced(self.transcripts.where(F.size("cds") > 0), "cds").withColumnRenamed("spliced", "cds_seq")
 
     def translated(self) -> DataFrame:
         """(tx_id, protein) of the annotated ORFs with the standard table, up to the first stop."""
@@ -312,7 +373,7 @@ def subset(reference: Reference, tx_ids: list[str], margin: int = 0) -> Referenc
     shift = {"start": F.col("start") - F.col("lo"), "end": F.col("end") - F.col("lo")}
     txs = txs.join(cut, "chrom").withColumns(shift | {"exons": moved("exons"), "utr": moved("utr"), "sec": moved("sec"), "cds": cds}).drop("lo", "hi")
     genes = genes.join(cut, "chrom").withColumns(shift).drop("lo", "hi")
-    seqs = reference.genome.join(cut, F.col("seqname") == F.col("chrom")).select("seqname", slice_of(F.col("seq"), F.col("lo"), F.col("hi")).alias("seq"))
+    seqs = sliced(cut, reference.genome, "chrom", "lo", "hi", "seq").select(F.col("chrom").alias("seqname"), "seq")
     proteins = None
     if reference.proteome is not None:
         proteins = reference.proteome.join(txs.select(F.col("tx_id").alias("transcript_id")), "transcript_id", "left_semi")

@@ -1,4 +1,7 @@
-"""Outputs of variant callers as DataFrames, one function per format. Columns keep the callers' own coordinates."""
+"""Outputs of variant callers as DataFrames, one function per format. Columns keep the callers' own coordinates.
+
+Each takes paths, or a DataFrame of lines (``text.read_lines``).
+"""
 
 from __future__ import annotations
 
@@ -7,10 +10,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ribospark.sources.text import read_lines
+
 
 def _rows(spark: SparkSession, path, comment: str | None = "#") -> DataFrame:
     """(pos, f): the tab-separated fields of every line that isn't blank or a comment."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", r"\r\z", "").alias("value"), F.monotonically_increasing_id().alias("pos"))
+    lines = read_lines(spark, path).select(F.regexp_replace("value", r"\r\z", "").alias("value"), "pos")
     keep = F.trim("value") != ""
     if comment:
         keep = keep & ~F.col("value").startswith(comment)
@@ -60,7 +65,7 @@ def vep_vcf(spark: SparkSession, path: str, samples: Sequence[str] | None = None
 
     A requested sample that the header lacks is an error. Without samples in the file there is one row with sample null.
     """
-    text = spark.read.text(path)
+    text = read_lines(spark, path)
     header = text.where(F.col("value").startswith("#CHROM")).first()
     meta = text.where(F.col("value").startswith("##INFO=<ID=CSQ")).first()
     names = header.value.strip().split("\t")[9:] if header else []
@@ -151,7 +156,7 @@ def reditools(spark: SparkSession, path, transcript_column: int = 17) -> DataFra
 
 def _named(spark: SparkSession, path, wanted: dict[str, tuple[str, str]], marked: bool = True) -> DataFrame:
     """Columns by the names of the header line; one that the file lacks is null. ``wanted`` maps output to (name, type)."""
-    first = spark.read.text(path).where(F.trim("value") != "")
+    first = read_lines(spark, path).where(F.trim("value") != "")
     head = (first.where(F.col("value").startswith("#") & ~F.col("value").startswith("##")) if marked else first).first()
     if head is None:
         raise ValueError(f"{path} has no header")

@@ -11,9 +11,17 @@ from pyspark.sql import functions as F
 GTF_ATTRIBUTES = ("gene_id", "transcript_id", "protein_id", "gene_name", "gene_type", "gene_biotype", "is_protein_coding")
 
 
-def fasta(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(description, seq): one row per record, line breaks removed. An empty file gives no rows."""
-    records = spark.read.text(path, lineSep="\n>") if isinstance(path, str) else spark.read.text(list(path), lineSep="\n>")
+def read_lines(spark: SparkSession, source: str | Sequence[str] | DataFrame, line_sep: str | None = None) -> DataFrame:
+    """(value, pos): the lines of text files and their order. A DataFrame (value[, pos]) stands for lines that are at hand already."""
+    if isinstance(source, DataFrame):
+        return source if "pos" in source.columns else source.withColumn("pos", F.monotonically_increasing_id())
+    text = spark.read.text(source if isinstance(source, str) else list(source), lineSep=line_sep)
+    return text.select("value", F.monotonically_increasing_id().alias("pos"))
+
+
+def fasta(spark: SparkSession, path: str | Sequence[str] | DataFrame) -> DataFrame:
+    """(description, seq): one row per record, line breaks removed. An empty file gives no rows. A DataFrame has records."""
+    records = read_lines(spark, path, "\n>")
     text = F.regexp_replace("value", r"\A>|\r", "")
     head = F.substring_index(text, "\n", 1)
     body = F.when(text.contains("\n"), F.substring(text, F.length(head) + 2, F.length(text))).otherwise("")
@@ -28,14 +36,6 @@ def genome(spark: SparkSession, path: str) -> DataFrame:
     return fasta(spark, path).select(name.alias("seqname"), F.upper("seq").alias("seq"))
 
 
-def chunked(contigs: DataFrame, size: int = 1_000_000) -> DataFrame:
-    """(seqname, off, seq): long contigs cut into pieces, for joins by (seqname, off)."""
-    n = F.ceil(F.length("seq") / size).cast("int")
-    return contigs.select(
-        "seqname", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).alias("k"), "seq"
-    ).select("seqname", (F.col("k") * size).cast("bigint").alias("off"), F.substring("seq", F.col("k") * size + 1, F.lit(size)).alias("seq"))
-
-
 def duplicates(df: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once, which a reference must not have."""
     return df.groupBy(key).count().where("count > 1")
@@ -87,7 +87,7 @@ def gtf(spark: SparkSession, path: str) -> DataFrame:
 
     ``pos`` is the place of the line in the file, which ranks genes and transcripts.
     """
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("pos"))
+    lines = read_lines(spark, path)
     f = F.split(F.regexp_replace("value", r"\s+\z", ""), "\t")
     rows = lines.where(~F.col("value").startswith("#") & (F.size(f) >= 9)).select("pos", f.alias("f"))
     field = [F.get("f", F.lit(i)) for i in range(9)]
@@ -123,7 +123,7 @@ def annotation_source(rows: DataFrame, sample: int = 101) -> str:
 
 def expression(spark: SparkSession, path: str, tx_col: str | int, quant_col: str | int, sep: str = "\t", skip: int = 0, header: bool = True) -> DataFrame:
     """(tx_id, quant): columns by name, or by number from 1. Of a repeated transcript the last line counts."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("pos")).orderBy("pos")
+    lines = read_lines(spark, path)
     rows = lines.where(F.trim("value") != "").select(F.split(F.regexp_replace("value", r"\r\z", ""), f"\\Q{sep}\\E").alias("f"), "pos")
     start = skip + (1 if header else 0)
     first = rows.orderBy("pos").limit(start).collect()
@@ -140,7 +140,7 @@ def expression(spark: SparkSession, path: str, tx_col: str | int, quant_col: str
 
 def name_list(spark: SparkSession, path: str) -> DataFrame:
     """(name): one per line, blank lines left out."""
-    return spark.read.text(path).select(F.trim("value").alias("name")).where("name != ''")
+    return read_lines(spark, path).select(F.trim("value").alias("name")).where("name != ''")
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
