@@ -20,7 +20,7 @@ from ribospark.functions import sequence as sq
 from ribospark.functions.digest import Cleavage
 from ribospark.operators import call, pool, reference, routing
 from ribospark.operators.pool import SourceOrder
-from ribospark.session import table
+from ribospark.session import spread, table
 from ribospark.sources import gvf
 
 _AMINO = "ACDEFGHIKLMNPQRSTVWY"
@@ -33,7 +33,7 @@ GAP = 10
 
 def proteins(spark: SparkSession, d: str) -> DataFrame:
     letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", "lang", "source", F.regexp_replace(letters, f"[^{_AMINO}]", "").alias("seq"))
+    return spread(table(spark, d, "documents").where("text is not null").select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", F.regexp_replace(letters, f"[^{_AMINO}]", "").alias("seq"))
 
 
 def dna(spark: SparkSession, d: str) -> DataFrame:
@@ -63,8 +63,8 @@ def variant_events(spark: SparkSession, d: str) -> DataFrame:
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
     """(seq, header): digested peptides of documents, each labelled by the document's language and source."""
-    rows = proteins(spark, d).select(_tx().alias("tx"), "doc_id", F.explode(dg.digest(F.col("seq"))).alias("seq"))
-    return rows.groupBy("seq").agg(F.array_join(F.array_sort(F.collect_set("tx")), " ").alias("header"))
+    rows = dg.digest_rows(proteins(spark, d).withColumn("tx", _tx()), keep=["tx"], distinct=True)
+    return rows.groupBy(F.col("pep").alias("seq")).agg(F.array_join(F.array_sort(F.collect_set("tx")), " ").alias("header"))
 
 
 def _tx() -> Column:
@@ -89,7 +89,7 @@ def label_sources(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 def _digest(cleavage: Cleavage):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return proteins(spark, d).select("doc_id", F.explode(dg.digest(F.col("seq"), cleavage)).alias("pep")).distinct()
+        return dg.digest_rows(proteins(spark, d), cleavage, keep=["doc_id"], distinct=True).distinct()
 
     return query
 
@@ -258,7 +258,8 @@ def gvf_info(spark: SparkSession, d: str) -> DataFrame:
 
 def merge_pools(spark: SparkSession, d: str) -> DataFrame:
     """Peptides of English documents merged with those of the others; the German ones' are denied."""
-    rows = proteins(spark, d).select(F.coalesce(F.lower("lang"), F.lit("na")).alias("lang"), F.explode(dg.digest(F.col("seq"), Cleavage(exception=None))).alias("seq")).distinct()
+    own = proteins(spark, d).withColumn("lang", F.coalesce(F.lower("lang"), F.lit("na")))
+    rows = dg.digest_rows(own, Cleavage(exception=None), keep=["lang"], distinct=True).withColumnRenamed("pep", "seq").distinct()
     deny = rows.where("lang = 'de'").select("seq")
 
     def part(cond: str) -> DataFrame:

@@ -32,6 +32,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over as many partitions as the session has cores, for work that outweighs a shuffle of its input.
+
+    Files of few row groups keep most cores idle. A scan of that many partitions stays as it is, and so does what has
+    been shuffled already; on a large table nothing is moved.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if "AdaptiveSparkPlan" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= n:
+        return df
+    return df.repartition(n)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that losing an executor costs no recomputation.
 
