@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ribospark.llm import frequency, leakage, mojibake, tokens
-from ribospark.operators import packed
-from ribospark.session import table
+from ribospark.session import spread, table
 
 
 def _terms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -34,16 +33,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_terms(spark, d).where(F.col("mark").isNotNull()).select("field_name", "term", "mark")
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode_corpus(table(spark, d, "documents"))
+    return tokens.encode_corpus(_documents(spark, d))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.leaked(_documents(spark, d), table(spark, d, "eval_items"))
 
 
 def _garbled(spark: SparkSession, d: str) -> DataFrame:
-    return mojibake.garbled_documents(table(spark, d, "documents"))
+    return mojibake.garbled_documents(_documents(spark, d))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
