@@ -64,14 +64,16 @@ def world(base: DataFrame) -> Reference:
     cds, utr = _coding_parts()
     none = F.array().cast(_INTERVALS)
     shared = [
-        _gene().alias("gene_id"), F.lit(None).cast("string").alias("protein_id"), _named("N").alias("gene_name"), F.lit("protein_coding").alias("biotype"), _named("C").alias("chrom"),
+        _gene().alias("gene_id"), F.lit(None).cast("string").alias("protein_id"), _named("N").alias("gene_name"), _named("C").alias("chrom"),
         F.lit(0).alias("start"), F.col("stop").alias("end"), "strand",
     ]
     rest = [none.alias("sec"), F.array().cast("array<string>").alias("tags")]
-    t = base.select(_named("T").alias("tx_id"), *shared, "exons", cds.alias("cds"), F.array_sort(utr).alias("utr"), *rest, (F.col("o") % 3 > 0).alias("is_coding"), F.col("o").alias("pos"))
+    noncoding = F.lit("lncRNA").alias("biotype")
+    kind = F.when(F.col("o") % 3 > 0, "protein_coding").otherwise("lncRNA").alias("biotype")
+    t = base.select(_named("T").alias("tx_id"), *shared, kind, "exons", cds.alias("cds"), F.array_sort(utr).alias("utr"), *rest, (F.col("o") % 3 > 0).alias("is_coding"), F.col("o").alias("pos"))
     ends = F.array(F.get("exons", F.lit(0)), F.element_at("exons", -1))
     u = base.where(F.size("exons") >= 3).select(
-        _named("U").alias("tx_id"), *shared, ends.alias("exons"), F.array().cast("array<struct<start:int,end:int,frame:int>>").alias("cds"), none.alias("utr"), *rest, F.lit(False).alias("is_coding"), F.col("o").alias("pos")
+        _named("U").alias("tx_id"), *shared, noncoding, ends.alias("exons"), F.array().cast("array<struct<start:int,end:int,frame:int>>").alias("cds"), none.alias("utr"), *rest, F.lit(False).alias("is_coding"), F.col("o").alias("pos")
     )
     return Reference(genes, t.unionByName(u), genome)
 

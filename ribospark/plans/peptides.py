@@ -395,10 +395,10 @@ def _mass(x: str) -> str:
     return f"({terms} - (length({x}) - 1) * {fixed.WATER})"
 
 
-def _peptides(site: str, misses: int = 2, name: str = "d") -> str:
-    """CTEs up to ``d(doc_id, pep)``: the valid peptides of p."""
-    return f"""{_P}, {_C}, s AS (
-  SELECT doc_id, 0 AS pos FROM p UNION ALL SELECT doc_id, i FROM c WHERE {site} UNION ALL SELECT doc_id, length(seq) FROM p
+def _peptides(site: str, misses: int = 2, name: str = "d", source: str = _P, ends: str = "true") -> str:
+    """CTEs up to ``d(doc_id, pep)``: the valid peptides of ``source``, p(doc_id, seq); of those that end where their sequence does, where ``ends`` says so."""
+    return f"""{source}, {_C}, s AS (
+  SELECT doc_id, 0 AS pos FROM p UNION ALL SELECT doc_id, i FROM c WHERE {site} UNION ALL SELECT doc_id, length(seq) FROM p WHERE {ends}
 ), r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM s
 ), w AS (SELECT x.doc_id, x.pos AS lo, y.pos AS hi FROM r x JOIN r y ON x.doc_id = y.doc_id AND y.k BETWEEN x.k + 1 AND x.k + {misses + 1} WHERE y.pos - x.pos BETWEEN 7 AND 26
 ), q AS (SELECT doc_id, lo, substr(seq, lo + 1, hi - lo) AS pep FROM w JOIN p USING (doc_id)

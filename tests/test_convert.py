@@ -8,9 +8,6 @@ from ribospark.operators import convert
 from ribospark.operators.reference import Reference
 from ribospark.sources import callers, gvf
 
-pytestmark = pytest.mark.skipif(not golden.files(), reason="no golden files here")
-
-
 @pytest.fixture(scope="module")
 def reference(spark):
     return Reference.from_files(spark, *golden.small_reference())
