@@ -137,6 +137,31 @@ def accepter(fusions: DataFrame, transcripts: DataFrame, genes: DataFrame) -> Da
     ).drop("g_id", "t_id", "g_start", "g_end", "g_strand", "exons", "t_strand").where("acc_tx_pos is not null")
 
 
+def on_gene(variants: DataFrame, transcripts: DataFrame, genes: DataFrame) -> DataFrame:
+    """Variants on transcripts (tx_id, start, end, ref, alt, type, id, …) with their start, end and ref on the gene.
+
+    A deletion written with the base after it ends at the last base deleted. ``status`` is ok, unknown transcript, or
+    spans an intron where the interval on the gene is longer and the variant is no deletion; a deletion's ref is then
+    the one its id names.
+    """
+    g = genes.select(F.col("gene_id").alias("g_id"), F.col("start").alias("g_start"), F.col("end").alias("g_end"), F.col("strand").alias("g_strand"))
+    t = transcripts.select(F.col("tx_id").alias("t_id"), F.col("gene_id").alias("t_gene"), "exons", F.col("strand").alias("t_strand"))
+    rows = variants.join(t, F.col("tx_id") == F.col("t_id"), "left").join(g, F.col("t_gene") == F.col("g_id"), "left")
+    deletion = (F.col("type") == "INDEL") & (F.length("ref") > F.length("alt"))
+    after = deletion & (F.length("alt") == 1) & (F.substring("ref", -1, 1) == F.col("alt")) & (F.substring("ref", 1, 1) != F.col("alt"))
+
+    def gene(index: Column) -> Column:
+        at = ref.transcript_to_genomic(index, F.col("exons"), F.col("t_strand"))
+        return intervals.genomic_to_gene(at, F.col("g_start"), F.col("g_end"), F.col("g_strand"))
+
+    placed = rows.withColumns({"__a": gene(F.col("start")), "__b": F.when(after, gene(F.col("end") - 2) + 2).otherwise(gene(F.col("end") - 1) + 1)})
+    longer = F.col("__b") - F.col("__a") != F.col("end") - F.col("start")
+    status = F.when(F.col("t_id").isNull(), "unknown transcript").when(longer & ~deletion, "spans an intron").otherwise("ok")
+    named = F.when(longer & deletion, F.get(F.split("id", "-"), F.lit(2))).otherwise(F.col("ref"))
+    kept = [c for c in variants.columns if c not in ("start", "end", "ref", "gene_id")]
+    return placed.select(F.col("t_gene").alias("gene_id"), F.col("__a").alias("start"), F.col("__b").alias("end"), named.alias("ref"), *kept, status.alias("status"))
+
+
 def strictly_within(variants: DataFrame, segments: DataFrame, inclusive: bool = False) -> DataFrame:
     """Variants inside some segment (gene_id, seg_start, seg_end): strictly, or including its ends."""
     s = segments.select(F.col("gene_id").alias("seg_gene"), "seg_start", "seg_end")

@@ -1,4 +1,4 @@
-"""Writers. Text files keep the order of the DataFrame they get; each task writes its own part."""
+"""Writers. Each task writes its own part; where a file has an order, the names of its parts follow it."""
 
 from __future__ import annotations
 
@@ -32,17 +32,28 @@ def with_head(rows: DataFrame, lines: Sequence[str]) -> DataFrame:
     return head.unionByName(rows)
 
 
-def write_gvf(variants: DataFrame, path: str, values: dict[str, str], mode: str = "errorifexists") -> None:
-    """Variants in their order under a head that describes the attributes that occur (found by one aggregation)."""
+def write_ordered(head: Sequence[str], rows: DataFrame, path: str, order: Sequence[str], mode: str = "errorifexists") -> None:
+    """Head lines and rows (value, …) sorted by the columns ``order``, in parts whose names follow that order.
+
+    The head sorts first; rows are range-partitioned, so no task holds more than a part of them.
+    """
+    spark = rows.sparkSession
+    first = spark.createDataFrame([(i, x) for i, x in enumerate(head)], "__at int, value string")
+    keyed = rows.select(F.lit(None).cast("int").alias("__at"), "value", *order)
+    every = first.unionByName(keyed, allowMissingColumns=True)
+    every.orderBy(F.col("__at").asc_nulls_last(), *order).select("value").write.mode(mode).text(path)
+
+
+def write_gvf(variants: DataFrame, path: str, values: dict[str, str], order: Sequence[str] = ("gene_id", "start", "end", "alt", "type"), mode: str = "errorifexists") -> None:
+    """Variants sorted by ``order`` under a head that describes the attributes that occur (found by one aggregation)."""
     keys = [r.k for r in variants.select(F.explode(F.map_keys("attrs")).alias("k")).distinct().orderBy("k").collect()]
     lines = gvf.metadata_lines(values, [k for k in gvf.ATTR_ORDER if k in keys] + [k for k in keys if k not in gvf.ATTR_ORDER])
-    with_head(variants.select(gvf.variant_line().alias("value")), lines).coalesce(1).write.mode(mode).text(path)
+    write_ordered(lines, variants.select(*order, gvf.variant_line().alias("value")), path, order, mode)
 
 
-def write_circles(circles: DataFrame, path: str, values: dict[str, str], mode: str = "errorifexists") -> None:
+def write_circles(circles: DataFrame, path: str, values: dict[str, str], order: Sequence[str] = ("gene_id", "start", "id"), mode: str = "errorifexists") -> None:
     keys = ("OFFSET", "LENGTH", "INTRON", "TRANSCRIPT_ID", "GENE_SYMBOL", "GENOMIC_POSITION")
-    lines = gvf.metadata_lines(values, keys)
-    with_head(circles.select(gvf.circle_line().alias("value")), lines).coalesce(1).write.mode(mode).text(path)
+    write_ordered(gvf.metadata_lines(values, keys), circles.select(*order, gvf.circle_line().alias("value")), path, order, mode)
 
 
 def gtf_lines(rows: DataFrame) -> DataFrame:

@@ -36,6 +36,13 @@ def genome(spark: SparkSession, path: str) -> DataFrame:
     return fasta(spark, path).select(name.alias("seqname"), F.upper("seq").alias("seq"))
 
 
+def check_format(path: str, suffixes: Sequence[str]) -> None:
+    """An error unless a path has one of the suffixes, compressed or not, such as `.gtf` or `.vcf.gz`."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    if not any(name.endswith(s) for s in suffixes):
+        raise ValueError(f"{path} must end in one of {', '.join(suffixes)}")
+
+
 def duplicates(df: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once, which a reference must not have."""
     return df.groupBy(key).count().where("count > 1")

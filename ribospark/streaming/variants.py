@@ -7,6 +7,7 @@ within a watermark on the time it is read, which bounds the state, and those tha
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -49,13 +50,13 @@ def without_repeats(records: DataFrame, late: str = "7 days") -> DataFrame:
     return read.dropDuplicatesWithinWatermark(list(KEY)).drop("read_at")
 
 
-def _unwritten(df: DataFrame, path: str) -> DataFrame:
-    """One record of each key of ``df`` that the table at ``path`` doesn't hold."""
+def _unwritten(df: DataFrame, path: str, batch: str) -> DataFrame:
+    """One record of each key of ``df`` that no other batch of the table at ``path`` holds."""
     df = df.dropDuplicates(list(KEY))
     try:
-        held = df.sparkSession.read.schema(df.schema).parquet(path).select(*(F.col(k).alias(f"held_{k}") for k in KEY))
+        held = df.sparkSession.read.parquet(path).where(F.col("batch") != batch).select(*(F.col(k).alias(f"held_{k}") for k in KEY))
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return df
     same = [df[k].eqNullSafe(held[f"held_{k}"]) for k in KEY]
@@ -63,11 +64,21 @@ def _unwritten(df: DataFrame, path: str) -> DataFrame:
 
 
 def ingest(records: DataFrame, path: str, checkpoint: str, after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Appends what arrived and isn't written yet to Parquet, batch by batch; ``after`` gets each batch's transcripts, whose peptides have changed."""
+    """Adds what arrived and isn't written yet to Parquet, batch by batch; ``after`` gets each batch's transcripts, whose peptides have changed.
+
+    A batch has a folder of its own, named by the stream and its number, which it overwrites: one that is tried again
+    after a failure leaves what it would have left the first time.
+    """
+    stream = f"{crc32(checkpoint.encode()):08x}"
 
     def batch(df: DataFrame, epoch: int) -> None:
-        _unwritten(df, path).write.mode("append").parquet(path)
-        if after is not None:
-            after(df.select("tx_id").distinct())
+        name = f"{stream}-{epoch}"
+        df = df.persist()
+        try:
+            _unwritten(df, path, name).write.mode("overwrite").parquet(f"{path}/batch={name}")
+            if after is not None:
+                after(df.select("tx_id").distinct())
+        finally:
+            df.unpersist()
 
     return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
