@@ -140,7 +140,7 @@ _TABLE = f"(SELECT {_codon_sql('Standard')} AS m) t"
 
 def _digested(proteins: str, ends: str = "true") -> str:
     """(pid, pep) of ``proteins`` (pid, seq)."""
-    inner = _peptides(_TRYPSIN, source=f"p AS (SELECT pid AS doc_id, * EXCLUDE (pid) FROM {proteins})", ends=ends)
+    inner = _peptides(_TRYPSIN, source=f"p AS (SELECT pid AS doc_id, seq{', ended' if ends == 'ended' else ''} FROM {proteins})", ends=ends)
     return f"(WITH {inner} SELECT doc_id AS pid, pep FROM d)"
 
 

@@ -277,10 +277,6 @@ def numbered_labels(spark: SparkSession, d: str) -> DataFrame:
     return pool.numbered_labels(rows.withColumn("tx_id", F.substring_index("label", "|", 1))).select("seq", "entry")
 
 
-def encoded_headers(spark: SparkSession, d: str) -> DataFrame:
-    return pool.encode(labelled(spark, d))[0]
-
-
 def built_entries(spark: SparkSession, d: str) -> DataFrame:
     """Header entries put together and taken apart."""
     p = table(spark, d, "part")
@@ -294,7 +290,7 @@ QUERIES = {
     for f in (
         genome_fasta, proteome_gencode, proteome_ensembl, header_styles, gtf_transcripts, gtf_genes, exons_of_genes, unversioned_genes, novel_orf_transcripts, expression_table, name_list, scan_vep, scan_vep_vcf,
         scan_star_fusion, scan_rmats_mxe, scan_circexplorer, gvf_extract, peptide_table, peptide_table_merged, peptide_annotations, peptide_table_fasta, peptide_table_sorted, variant_predicates,
-        noncanonical_variants, distinct_variants, variants_on_genes, variants_within, spliced_locations, numbered_labels, encoded_headers, built_entries,
+        noncanonical_variants, distinct_variants, variants_on_genes, variants_within, spliced_locations, numbered_labels, built_entries,
     )
 }
 
@@ -354,7 +350,7 @@ SQL = {
         SELECT 'T' || m.o AS tx_id, CAST(coalesce(any_value(u.n), 0) AS INT) AS n, CAST(coalesce(max(u.at), -1) AS INT) AS at, CAST(coalesce(any_value(u.bases), 0) AS INT) AS bases
         FROM (SELECT DISTINCT o FROM m) m LEFT JOIN (SELECT c.o, count(*) AS n, sum(b - a) AS bases, max(CASE WHEN r <= x AND x < r + b - a THEN a + x - r END) AS at FROM c JOIN f USING (o) GROUP BY c.o) u USING (o) GROUP BY m.o""",
     "numbered_labels": f"WITH {_LABELLED} SELECT seq, 'TX' || lang || '|SNV-' || source || '|' || row_number() OVER (PARTITION BY lang, source ORDER BY seq) AS entry FROM l",
-    "encoded_headers": f"""WITH {_LABELLED}, h AS (SELECT seq, sha256(string_agg('TX' || lang || '|SNV-' || source, ' ' ORDER BY 'TX' || lang || '|SNV-' || source)) AS x FROM l GROUP BY seq)
+    "encode_headers": f"""WITH {_LABELLED}, h AS (SELECT seq, sha256(string_agg('TX' || lang || '|SNV-' || source, ' ' ORDER BY 'TX' || lang || '|SNV-' || source)) AS x FROM l GROUP BY seq)
         SELECT seq, substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-4' || substr(x, 14, 3) || '-8' || substr(x, 18, 3) || '-' || substr(x, 21, 12) AS header FROM h""",
     "built_entries": """SELECT p_partkey, 'T' || p_partkey || '|SNV-' || p_size || CASE WHEN p_size % 2 = 0 THEN '|ORF3' ELSE '' END || '|' || p_size AS entry, 'T' || p_partkey AS backbone, p_size AS idx,
         'T' || p_partkey || '|SNV-' || p_size || CASE WHEN p_size % 2 = 0 THEN '|ORF3' ELSE '' END AS bare FROM part""",

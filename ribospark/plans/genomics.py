@@ -8,7 +8,6 @@ records are lines in the callers' own formats made of events and orders, and go
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ from ribospark.plans.peptides import _E, GAP, _codon_sql, transcripts
 from ribospark.session import checkpointed, table
 from ribospark.sources import callers, gvf, sinks
 
-_HEX, _DNA, _PARTS = "0123456789abcdef", "ACGT" * 4, 14
+_HEX, _DNA = "0123456789abcdef", "ACGT" * 4
 _INTERVALS = "array<struct<start:int,end:int>>"
 
 
@@ -56,7 +55,8 @@ def _coding_parts() -> tuple[Column, Column]:
 
 
 def world(base: DataFrame) -> Reference:
-    text = reduce(F.concat, [F.md5(F.concat(_named(""), F.lit(f":{k}"))) for k in range(_PARTS)])
+    hashes = F.transform(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / 32).cast("int")), lambda k: F.md5(F.concat(_named(""), F.lit(":"), k.cast("string"))))
+    text = F.array_join(hashes, "")
     genome = base.select(_named("C").alias("seqname"), F.substring(F.translate(text, _HEX, _DNA), F.lit(1), F.col("size")).alias("seq"))
     genes = base.select(
         _gene().alias("gene_id"), _named("N").alias("gene_name"), F.lit("protein_coding").alias("biotype"), _named("C").alias("chrom"), F.lit(0).alias("start"), F.col("size").alias("end"), "strand", F.col("o").alias("pos")
@@ -412,7 +412,7 @@ def _rc(x: str) -> str:
 
 _W = f"""{_E}, k AS (SELECT tx_id AS o, strand, s, t, row_number() OVER (PARTITION BY tx_id ORDER BY s) AS i, c0, c1 FROM e
 ), w AS (SELECT o, any_value(strand) AS strand, CAST(max(t) AS INT) AS stop, CAST(max(t) + {GAP} AS INT) AS len, count(*) AS n FROM k GROUP BY o
-), q0 AS (SELECT *, substr(translate({" || ".join(f"md5(o || ':{k}')" for k in range(_PARTS))}, '{_HEX}', '{_DNA}'), 1, len) AS seq, 'G' || o || '.' || o % 3 AS gene FROM w
+), q0 AS (SELECT *, substr(translate(array_to_string([md5(o || ':' || h) FOR h IN range(0, (len - 1) // 32 + 1)], ''), '{_HEX}', '{_DNA}'), 1, len) AS seq, 'G' || o || '.' || o % 3 AS gene FROM w
 ), q AS (SELECT *, CASE WHEN strand = 1 THEN seq ELSE {_rc("seq")} END AS gseq FROM q0
 ), ev AS (SELECT event_id, event_type, user_id AS o, CAST(floor(value) AS INT) AS val, CAST(floor(value) AS INT) % stop AS p, w.* EXCLUDE (o) FROM events JOIN w ON user_id = w.o
 ), tx AS (SELECT 'T' || o AS tx, o, 'T' AS kind, s, t FROM k UNION ALL SELECT 'U' || o, o, 'U', s, t FROM k JOIN w USING (o) WHERE n >= 3 AND (i = 1 OR i = n)

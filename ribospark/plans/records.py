@@ -47,6 +47,20 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, d))
 
 
+def _p1_typed(tool: str):
+    """The typed columns of the valid rows, without what no column holds."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return rejects.valid_rows(table(spark, d, "raw_lines"), tool).drop("other")
+
+    return query
+
+
+def p3_plain(spark: SparkSession, d: str) -> DataFrame:
+    """The values of the fields that have no quotes or brackets of their own."""
+    return p3_found(spark, d).where("field_name <> 'annots'")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     parts = packed.packed_fields(
         table(spark, d, "star_fusion"), "star_fusion", {"junction_reads": packed.READS, "annots": packed.LISTED}
@@ -84,7 +98,9 @@ QUERIES = {
     "p1_valid_vep": _valid("vep"),
     "p2_found": p2_found,
     "p2_report": p2_report,
+    **{f"p1_typed_{tool}": _p1_typed(tool) for tool in rejects.TOOLS},
     "p3_found": p3_found,
+    "p3_plain": p3_plain,
     "p4_found": p4_found,
     "p4_log": p4_log,
     "p4_table": p4_table,
@@ -151,9 +167,34 @@ _LINES = f"""b AS (
     WHEN CASE tool WHEN 'star_fusion' THEN {_invalid('star_fusion')} WHEN 'rmats_mxe' THEN {_invalid('rmats_mxe')} ELSE {_invalid('vep')} END THEN 'value'
   END AS reason FROM f
 )"""
+
+
+def _typed(tool: str) -> str:
+    """SQL of the typed columns of a tool; a name that is listed again is looked for after its first place."""
+    columns, seen = [], set()
+    for name, column, kind in rejects.TYPED[tool]:
+        at = f"list_position(names, '{column}')"
+        if column in seen:
+            at = f"({at} + list_position(names[{at} + 1:], '{column}'))"
+        seen.add(column)
+        field = f"fields[{at}]"
+        value = f"CASE WHEN starts_with({field}, '\"') THEN replace(regexp_replace({field}, '^\"(.*)\"$', '\\1'), '\"\"', '\"') ELSE {field} END"
+        columns.append((value if kind == "string" else f"TRY_CAST({value} AS {kind})") + f" AS {name}")
+    return f"WITH {_LINES} SELECT line_id, file_name, line_no, {', '.join(columns)} FROM f JOIN r USING (line_id) WHERE f.tool = '{tool}' AND reason IS NULL"
+
+
+def _split(table_name: str, field: str, pattern: str) -> str:
+    found = f"[x FOR x IN regexp_extract_all({field}, '{pattern}') IF regexp_matches(x, '[A-Za-z0-9]')]"
+    return f"SELECT '{table_name}' AS table_name, record_id, '{field}' AS field_name, CAST(unnest(range(1, len({found}) + 1)) AS INT) AS pos, unnest({found}) AS item_text FROM {table_name}"
+
+
 _CLEAN = "upper(regexp_replace(tx_id, '^\\s+|\\s+$', '', 'g'))"
 
 SQL = {
+    **{f"p1_typed_{tool}": _typed(tool) for tool in rejects.TOOLS},
+    "p3_plain": " UNION ALL ".join(
+        [_split("star_fusion", "junction_reads", "[A-Za-z0-9@:&_-]+"), _split("vep_records", "consequences", "[A-Za-z0-9_]+"), _split("rmats_mxe", "ijc_sample_1", "[0-9]+|NA")]
+    ),
     "p1_found": f"WITH {_LINES} SELECT line_id FROM r WHERE reason IS NOT NULL",
     "p1_reasons": f"WITH {_LINES} SELECT tool, reason, count(*) AS n_lines FROM r WHERE reason IS NOT NULL GROUP BY ALL",
     "p2_found": f"WITH {_REFS} SELECT table_name, record_id, field_name FROM orphan",

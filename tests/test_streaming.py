@@ -44,3 +44,24 @@ def test_files_with_an_old_time(spark, tmp_path):
     assert run("c.gvf", state, 30, 5, 7) == [4, 5, 6]
     # a second stream knows only the written table
     assert run("d.gvf", str(tmp_path / "other"), 0, 7, 8) == [4, 5, 6, 7]
+
+
+def test_a_batch_that_is_tried_again(spark, tmp_path):
+    """A batch written twice, as after a failure, leaves its records once."""
+    inbox, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    inbox.mkdir()
+    (inbox / "a.gvf").write_text(LINE.format(p=5) + LINE.format(p=6))
+    failed = []
+
+    def once(txs):
+        if not failed:
+            failed.append(txs.count())
+            raise RuntimeError("the first time")
+
+    for _ in range(2):
+        query = variants.ingest(variants.without_repeats(variants.arriving(spark, str(inbox))), out, state, once)
+        try:
+            query.awaitTermination()
+        except Exception as error:
+            assert "the first time" in str(error)
+    assert failed == [2] and sorted(r.start for r in spark.read.parquet(out).collect()) == [4, 5]
