@@ -320,7 +320,11 @@ def _reference(spark: SparkSession, d: str) -> reference.Reference:
 
 
 def call_variant(spark: SparkSession, d: str) -> DataFrame:
-    """Variant peptides: an event is a substitution at the floor of its value on one of its user's ten transcripts."""
+    """Variant peptides: an event is a substitution at the floor of its value on one of its user's ten transcripts.
+
+    With the reference's default cap: peptides of more than 7 variants, and 2 for each missed cleavage, are left out.
+    ``call_small`` has none.
+    """
     ref = _reference(spark, d)
     seqs = ref.genome.select(F.substring("seqname", 2, 100).alias("t"), "seq")
     own = F.col("tx_id") * 10 + F.col("event_id") % 10
