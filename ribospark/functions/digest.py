@@ -162,14 +162,15 @@ def digest_rows(proteins: DataFrame, cleavage: Cleavage = Cleavage(), seq: str =
     """(keep…, pep): the peptides of every protein, one a row, with the columns ``keep`` of its row. Null proteins give none.
 
     The same as exploding ``digest``, by Arrow batches: lambdas over arrays aren't compiled, and digesting whole proteomes
-    takes several times as long with them. With ``distinct`` a batch gives each row once.
+    takes several times as long with them. With ``distinct`` a protein gives a row once, and without ``keep`` a thousand do.
     """
     columns = [*keep, seq, *([nf] if nf else [])]
     schema = ", ".join([*(f"`{c}` {proteins.schema[c].dataType.simpleString()}" for c in keep), "pep string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digester = Digester(cleavage)
-        for batch in batches:
+        # few proteins at a time, so that a worker holds the peptides of no more
+        for batch in (b.slice(at, 1_000) for b in batches for at in range(0, b.num_rows, 1_000)):
             texts = batch.column(len(keep)).to_pylist()
             incomplete = batch.column(len(keep) + 1).to_pylist() if nf else [False] * len(texts)
             at, found = [], []
