@@ -50,7 +50,7 @@ def call_small(spark: SparkSession, d: str) -> DataFrame:
     """Peptides of substitutions, insertions and deletions, up to seven on a transcript, without a cap."""
     base = _base(spark, d)
     ref = world(base)
-    return call.call_variant(ref, checkpointed(_small_variants(base, ref)), rules=_RULES, adjacent=0).select("tx_id", "seq").distinct()
+    return call.call_variant(ref, checkpointed(_small_variants(base, ref)), rules=_RULES, adjacent=0, labelled=False).select("tx_id", "seq").distinct()
 
 
 def call_splicing(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +66,7 @@ def call_splicing(spark: SparkSession, d: str) -> DataFrame:
 
     variants = event("RI", _retained, 2).unionByName(event("SE", _skipped, 3))
     variants = variants.join(ref.transcripts.where("is_coding and size(cds) > 0").select("tx_id"), "tx_id", "left_semi")
-    return call.call_variant(ref, checkpointed(variants), rules=_RULES, adjacent=0).select("tx_id", "seq").distinct()
+    return call.call_variant(ref, checkpointed(variants), rules=_RULES, adjacent=0, labelled=False).select("tx_id", "seq").distinct()
 
 
 def call_fusions(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +89,7 @@ def call_fusions(spark: SparkSession, d: str) -> DataFrame:
     variants = donors.join(acc, "o").select(
         "gene_id", start.alias("start"), (start + 1).alias("end"), F.lit("A").alias("ref"), F.lit("<FUSION>").alias("alt"), F.lit("Fusion").alias("type"), F.concat_ws("-", F.lit("FUSION"), "tx_id", "acc_tx").alias("id"), "tx_id", attrs.alias("attrs")
     )
-    return call.call_variant(ref, checkpointed(variants), rules=_RULES, adjacent=0).select("tx_id", "seq").distinct()
+    return call.call_variant(ref, checkpointed(variants), rules=_RULES, adjacent=0, labelled=False).select("tx_id", "seq").distinct()
 
 
 def call_circles(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +97,7 @@ def call_circles(spark: SparkSession, d: str) -> DataFrame:
     ref = world(_base(spark, d))
     circles = checkpointed(_circles(spark, d).where("status = 'ok'"))
     none = spark.createDataFrame([], "gene_id string, start int, end int, ref string, alt string, type string, id string, tx_id string, attrs map<string,string>")
-    return call.call_variant(ref, none, circles, _RULES, adjacent=0).select("unit", "seq").distinct()
+    return call.call_variant(ref, none, circles, _RULES, adjacent=0, labelled=False).select("unit", "seq").distinct()
 
 
 def call_novel_orf(spark: SparkSession, d: str) -> DataFrame:
