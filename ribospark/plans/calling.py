@@ -94,8 +94,9 @@ def call_fusions(spark: SparkSession, d: str) -> DataFrame:
 
 def call_circles(spark: SparkSession, d: str) -> DataFrame:
     """Peptides of circles, read round and round."""
-    ref = world(_base(spark, d))
-    circles = checkpointed(_circles(spark, d).where("status = 'ok'"))
+    base = _base(spark, d)
+    ref = world(base)
+    circles = checkpointed(_circles(spark, d, base).where("status = 'ok'"))
     none = spark.createDataFrame([], "gene_id string, start int, end int, ref string, alt string, type string, id string, tx_id string, attrs map<string,string>")
     return call.call_variant(ref, none, circles, _RULES, adjacent=0, labelled=False).select("unit", "seq").distinct()
 

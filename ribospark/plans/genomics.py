@@ -273,9 +273,9 @@ def convert_arriba(spark: SparkSession, d: str) -> DataFrame:
     return _fusion(convert.arriba(callers.arriba(spark, _lines(spark, _pairs(spark, d, base), fields, ["#gene1"])), world(base)))
 
 
-def _circles(spark: SparkSession, d: str) -> DataFrame:
+def _circles(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
     """An order's circle: its second and third exons as far as it has them, or the intron before the second."""
-    base = _base(spark, d)
+    base = _base(spark, d) if base is None else base
     n = F.size("exons")
     intron = (F.col("o") % 4 == 3) & (n >= 2)
     exon = lambda i: F.get("exons", F.lit(i))
