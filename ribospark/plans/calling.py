@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ribospark.functions import intervals, labels
 from ribospark.operators import call, convert, reference
 from ribospark.operators.call import Rules
 from ribospark.plans.genomics import _CD, _W, _base, _circles, _gene, _HEAD, _lines, _named, _retained, _rc, _sign, _skipped, _TAIL, world
-from ribospark.plans.peptides import _TRYPSIN, _codon_sql, _mass, _peptides
+from ribospark.plans.peptides import _TRYPSIN, GAP, _codon_sql, _mass, _peptides
 from ribospark.session import checkpointed
 from ribospark.sources import callers
 
@@ -18,7 +20,7 @@ _RULES = Rules(exception=None)
 
 def _coding(ref: reference.Reference) -> DataFrame:
     """(tx_id, tx_seq, orf_start, …) of the coding transcripts."""
-    return ref.transcript_sequences(ref.transcripts.where("is_coding and size(cds) > 0").select("tx_id"))
+    return replace(ref, transcripts=ref.transcripts.where("is_coding and size(cds) > 0")).transcript_sequences()
 
 
 def _on_gene(index: Column, exon: Column, size: Column) -> Column:
@@ -28,10 +30,13 @@ def _on_gene(index: Column, exon: Column, size: Column) -> Column:
     return intervals.genomic_to_gene(g, F.lit(0), size, F.col("strand"))
 
 
-def _small_variants(base: DataFrame, ref: reference.Reference) -> DataFrame:
+def _small_variants(ref: reference.Reference) -> DataFrame:
     """A substitution, an insertion of 2 bases or a deletion of 2 in the middle of each exon after the start codon."""
-    exons = reference.exon_table(ref.transcripts.where("is_coding")).select("tx_id", "n5", F.struct("start", "end", "cum_start").alias("e"))
-    rows = exons.join(_coding(ref).select("tx_id", "gene_id", "strand", "tx_seq", "orf_start"), "tx_id").join(base.select(_named("T").alias("tx_id"), "size"), "tx_id")
+    n, i = F.size("exons"), F.col("i")
+    forward = F.col("strand") == 1
+    before = F.when(forward, F.slice("exons", F.lit(1), i)).otherwise(F.slice("exons", i + 2, n))
+    placed = _coding(ref).select("tx_id", "gene_id", "strand", "tx_seq", "orf_start", "exons", (F.col("end") + GAP).alias("size"), F.posexplode("exons").alias("i", "x"))
+    rows = placed.withColumns({"n5": F.when(forward, i + 1).otherwise(n - i), "e": F.struct("x.start", "x.end", reference.transcript_length(before).alias("cum_start"))})
     long = F.col("e.end") - F.col("e.start")
     m = F.col("e.cum_start") + F.floor(long / 2).cast("int")
     deletion = (F.col("n5") % 3 == 2) & (long >= 6)
@@ -48,9 +53,8 @@ def _small_variants(base: DataFrame, ref: reference.Reference) -> DataFrame:
 
 def call_small(spark: SparkSession, d: str) -> DataFrame:
     """Peptides of substitutions, insertions and deletions, up to seven on a transcript, without a cap."""
-    base = _base(spark, d)
-    ref = world(base)
-    return call.call_variant(ref, checkpointed(_small_variants(base, ref)), rules=_RULES, adjacent=0, labelled=False).select("tx_id", "seq").distinct()
+    ref = world(_base(spark, d))
+    return call.call_variant(ref, checkpointed(_small_variants(ref)), rules=_RULES, adjacent=0, labelled=False).select("tx_id", "seq").distinct()
 
 
 def call_splicing(spark: SparkSession, d: str) -> DataFrame:
